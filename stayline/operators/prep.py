@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from stayline.functions.predicates import col_named, number_or_null
 from stayline.operators.columns import drop_columns, numeric_columns
 from stayline.operators.joins import sized_join
+from stayline.sources.tables import materialize
 
 HASH_SPACE = 1 << 32
 HASH_HALF = 1 << 16
@@ -34,13 +35,14 @@ def hash_cutoffs(hashed: DataFrame, strata: list[str], wanted: Column) -> DataFr
 
     `wanted` is a column over `n_rows`, the size of the stratum. Two histograms of at most
     65,536 counts each: first over the upper half of the hash, then over the lower half
-    inside the one upper bin where the cut falls. No task ever sorts the rows.
+    inside the one upper bin where the cut falls. No task ever sorts the rows. The results of
+    both steps are one row per stratum; they are written so that no pass runs twice.
     """
     upper = F.shiftright(F.col("_hash"), 16)
     by = [col_named(s) for s in strata]
     bins = hashed.groupBy(*by, upper.alias("_upper")).agg(F.count(F.lit(1)).alias("_n"))
     whole = W.partitionBy(*by)
-    first = (
+    first = materialize(
         bins.withColumn("_upto", F.sum("_n").over(whole.orderBy("_upper")))
         .withColumn("n_rows", F.sum("_n").over(whole))
         .withColumn("wanted", wanted)
@@ -50,7 +52,7 @@ def hash_cutoffs(hashed: DataFrame, strata: list[str], wanted: Column) -> DataFr
     on = [*strata, "_upper"]
     inside = sized_join(hashed.withColumn("_upper", upper), first, on)
     fine = inside.groupBy(*by, "_hash").agg(F.count(F.lit(1)).alias("_n"), F.first("_left").alias("_left"))
-    return (
+    return materialize(
         fine.withColumn("_upto", F.sum("_n").over(whole.orderBy("_hash")))
         .filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")))
         .select(*by, F.col("_hash").alias("cut"))

@@ -78,7 +78,7 @@ def assemble(df: DataFrame, features: list[str], output: str = "_features") -> D
 
 
 def fit_logistic(
-    train: DataFrame, features: list[str], target: str, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-8
+    train: DataFrame, features: list[str], target: str, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-6
 ) -> LogisticModel:
     """L2-penalised logistic regression on rows that are scaled already.
 

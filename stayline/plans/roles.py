@@ -15,6 +15,7 @@ from stayline.operators.features import time_series_features
 from stayline.operators.joins import sized_join
 from stayline.operators.scoring import LogisticModel
 from stayline.plans.cohort import CohortRules, build_cohort
+from stayline.sources.tables import materialize
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 STAY_DAYS = 1800
@@ -129,8 +130,10 @@ def window_rows(
 ) -> DataFrame:
     keys = keys or ["user_id"]
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    # Written once: both the size check and the join read the starts.
+    starts = materialize(first_events(spark, folder, keys))
     return window_extract(
-        events, first_events(spark, folder, keys), keys, "ts", "intime", "value", hours, granularity
+        events, starts, keys, "ts", "intime", "value", hours, granularity
     ).select("event_id", "user_id", "event_type", "ts", "value", "intime")
 
 
