@@ -40,7 +40,19 @@ def contains_any_case(text: Column, part: str) -> Column:
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Elapsed microseconds.
+
+    From the parts of the difference: `timestamp_diff` would read zone-less times in the
+    session's zone and be an hour off across a clock change.
+    """
+    gap = end - start
+    minutes = (_part("DAY", gap) * 24 + _part("HOUR", gap)) * 60 + _part("MINUTE", gap)
+    return minutes * (60 * MICROS_PER_SECOND) + (_part("SECOND", gap) * MICROS_PER_SECOND).cast("long")
+
+
+def _part(unit: str, gap: Column) -> Column:
+    part = F.extract(F.lit(unit), gap)
+    return part if unit == "SECOND" else part.cast("long")
 
 
 def hours_between(start: Column, end: Column) -> Column:
@@ -58,7 +70,7 @@ def age_in_years(birth: Column, at: Column) -> Column:
 
 def outcome_within_days(start: Column, event: Column, days: int) -> Column:
     """1 when the event happens at most `days` whole days after the start, also before it."""
-    return F.when(event.isNotNull() & (F.timestamp_diff("DAY", start, event) <= days), 1).otherwise(0)
+    return F.when(_part("DAY", event - start) <= days, 1).otherwise(0)
 
 
 def window_end(start: Column, hours: int) -> Column:
@@ -78,3 +90,8 @@ def cut_to_day(time: Column) -> Column:
 def number_or_null(value: Column) -> Column:
     """NaN counts as missing."""
     return F.when(~F.isnan(value), value)
+
+
+def has_number(value: Column) -> Column:
+    """Neither null nor NaN, written so that the null test reaches the scan."""
+    return value.isNotNull() & ~F.isnan(value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from stayline.functions.predicates import col_named, cut_to_day, in_window, number_or_null
+from stayline.functions.predicates import col_named, cut_to_day, has_number, in_window
 from stayline.operators.joins import sized_join
 
 
@@ -27,7 +27,7 @@ def window_extract(
     """
     if time_granularity not in (None, "day"):
         raise ValueError(f"unsupported granularity: {time_granularity}")
-    usable = events.filter(number_or_null(col_named(value)).isNotNull())
+    usable = events.filter(has_number(col_named(value)))
     if time_granularity == "day":
         usable = usable.withColumn(time, cut_to_day(col_named(time)))
     joined = sized_join(usable, cohort, on, "inner", **join_options)

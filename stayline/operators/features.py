@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from stayline.functions.predicates import col_named, hours_between
+from stayline.functions.predicates import col_named, has_number, hours_between
 from stayline.operators.joins import sized_join
 
 STATS = ("mean", "min", "max", "slope")
@@ -66,16 +66,20 @@ def time_series_long(
     an origin near the readings (such as the window start) keeps the sums well conditioned.
     """
     start = F.lit("1970-01-01").cast("timestamp_ntz") if origin is None else origin
-    hours = hours_between(start, col_named(time))
-    values = col_named(value)
-    series = df.filter(values.isNotNull() & col_named(label).isNotNull())
+    # The time axis is a column of its own, so that it is computed once per reading.
+    series = df.filter(has_number(col_named(value)) & col_named(label).isNotNull()).select(
+        *[col_named(e) for e in entity],
+        col_named(label),
+        col_named(value).cast("double").alias("_value"),
+        hours_between(start, col_named(time)).alias("_hours"),
+    )
     return series.groupBy(*[col_named(e) for e in entity], col_named(label)).agg(
-        F.avg(values).alias("mean"),
-        F.min(values).alias("min"),
-        F.max(values).alias("max"),
-        F.when(F.count(values) == 1, F.lit(None))
-        .when(F.min(hours) == F.max(hours), F.lit(0.0))
-        .otherwise(F.regr_slope(values, hours))
+        F.avg("_value").alias("mean"),
+        F.min("_value").alias("min"),
+        F.max("_value").alias("max"),
+        F.when(F.count("_value") == 1, F.lit(None))
+        .when(F.min("_hours") == F.max("_hours"), F.lit(0.0))
+        .otherwise(F.regr_slope("_value", "_hours"))
         .alias("slope"),
     )
 

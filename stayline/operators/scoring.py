@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.predicates import col_named, number_or_null
 from stayline.operators.prep import scale_columns
-from stayline.sources.tables import save_dataset
+from stayline.sources.tables import materialize, save_dataset
 
 # Names of the two columns a scored frame gains.
 PREDICTED_CLASS = "predicted_mortality_30d"
@@ -197,9 +197,10 @@ def roc_auc(df: DataFrame, label: str, score: str, bins: int = 1000) -> DataFram
     numbers of distinct scores; the negatives below a bin come from a running sum over the bins
     (one small row each), those inside it from a running sum partitioned by bin. The
     arithmetic is on whole numbers, so the result does not depend on the order of the rows.
+    The counts are written once, as three steps read them.
     """
     y = col_named(label).cast("double")
-    counted = (
+    counted = materialize(
         df.select(number_or_null(col_named(score).cast("double")).alias("score"), y.alias("y"))
         .dropna()
         .groupBy("score")
