@@ -26,17 +26,21 @@ def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFr
     """The first row of every key in the given order; name a unique column last to settle ties.
 
     An aggregate instead of a ranking: each task keeps one row per key before the shuffle,
-    so a key with very many rows costs no more than any other. Nulls sort last.
+    so a key with very many rows costs no more than any other. Nulls sort last, and rows that
+    are equal in the order are settled by their other columns.
     """
-    order = F.struct(*[part for c in order_by for part in (col_named(c).isNull(), col_named(c))])
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[col_named(c) for c in rest])
-    first = df.groupBy(*[col_named(k) for k in keys]).agg(F.min_by(row, order).alias("_first"))
+    order = [c for c in order_by if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    # The smallest (order, other columns) is the first row itself.
+    parts = [
+        part
+        for c in order
+        for part in (col_named(c).isNull().alias(f"{c}_missing"), col_named(c))
+    ]
+    row = F.min(F.struct(*parts, *[col_named(c) for c in rest])).alias("_first")
+    first = df.groupBy(*[col_named(k) for k in keys]).agg(row)
     return first.select(
-        *[
-            col_named(c) if c in keys else F.col("_first").getField(c).alias(c)
-            for c in df.columns
-        ]
+        *[col_named(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns]
     )
 
 

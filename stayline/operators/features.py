@@ -140,7 +140,8 @@ def time_series_features(
 def merge_features(base: DataFrame, *features: DataFrame, on: list[str], **join_options) -> DataFrame:
     """Left joins of feature sets onto the base rows.
 
-    A column name on both sides gets the suffix `_x` on the left and `_y` on the right.
+    A column name on both sides gets the suffix `_x` on the left and `_y` on the right. Each set
+    is measured before it is joined: pass sets that are stored, not long computations.
     """
     merged = base
     for side in features:

@@ -73,8 +73,8 @@ def sized_join(
 ) -> DataFrame:
     """Equi-join (inner, left or left_semi) which survives a key with a large share of the facts.
 
-    The smaller side is measured: up to `max_bytes` it is broadcast and the facts are not
-    shuffled. Beyond that both sides are shuffled on the key, and the rows of hot keys also
+    The smaller side is measured, so it should be stored or cheap to compute. Up to `max_bytes` it is
+    broadcast and the facts are not shuffled. Beyond that both sides are shuffled on the key, and the rows of hot keys also
     on a salt: their facts spread over `salts` tasks and the few matching rows of the other
     side are repeated for each salt. The salt is made of the row's values and its
     partition, which a repeated task attempt reproduces, and which also splits exact copies.

@@ -51,13 +51,15 @@ def build_features(
 ) -> DataFrame:
     """Cohort rows with the features of both measurement sets, sparse columns and rows dropped.
 
-    The merged rows are written once (under `path`, or the shared work folder) since both the
-    column coverage and the result read them.
+    Each feature set is written once, as the merge measures it before joining it; so are the merged
+    rows (under `path`, or the shared work folder), which the column coverage and the result read.
     """
-    vital_features = covered_features(
-        vitals, stay, "vitals_label", "charttime", "vitals_valuenum", vitals_coverage
+    vital_features = materialize(
+        covered_features(vitals, stay, "vitals_label", "charttime", "vitals_valuenum", vitals_coverage)
+    )
+    lab_features = materialize(
+        covered_features(labs, stay, "labs_label", "charttime", "labs_valuenum", labs_coverage)
     )
-    lab_features = covered_features(labs, stay, "labs_label", "charttime", "labs_valuenum", labs_coverage)
     merged = materialize(merge_features(cohort, vital_features, lab_features, on=[stay]), path)
     return drop_sparse_complete(merged, column_coverage, **column_rules)
 

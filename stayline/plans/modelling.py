@@ -5,11 +5,11 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stayline.functions.predicates import col_named
-from stayline.operators.columns import align_columns, drop_columns, drop_leaky_columns, is_empty, null_report, numeric_columns
+from stayline.functions.predicates import col_named, has_number
+from stayline.operators.columns import align_columns, drop_columns, drop_leaky_columns, is_empty, numeric_columns
 from stayline.operators.explain import (
     beeswarm_table,
     contribution_table,
@@ -97,15 +97,19 @@ def scaled_inputs(df: DataFrame, model: LogisticModel, ids: list[str]) -> DataFr
     return model.scale(align_columns(df, model.features, keep=ids))
 
 
-def score_pipeline(df: DataFrame, model: LogisticModel, check_nulls: bool = True) -> DataFrame:
+def score_pipeline(df: DataFrame, model: LogisticModel, gaps: Observation | None = None) -> DataFrame:
     """All input columns plus class and probability; a row with a gap in a feature gets nulls.
 
-    One projection over the input. `check_nulls` adds an aggregate that warns of gaps.
+    One projection over the input. `gaps` counts the missing values of every feature in the same
+    pass: read `gaps.get` after an action on the result, or hand it to `warn_of_gaps`.
     """
-    if check_nulls:
-        gaps = null_report(align_columns(df, model.features)).filter("n_missing > 0").collect()
-        if gaps:
-            warnings.warn(f"missing values in {sorted(r.column_name for r in gaps)}", stacklevel=2)
+    if gaps is not None:
+        present = set(df.columns)
+        counts = [
+            F.count_if(~has_number(col_named(f).cast("double"))) if f in present else F.count(F.lit(1))
+            for f in model.features
+        ]
+        df = df.observe(gaps, *[count.alias(f) for count, f in zip(counts, model.features)])
     present = set(df.columns)
     scaled = {
         f: (col_named(f) - F.lit(model.scaler[f][0])) / F.lit(model.scaler[f][1])
@@ -116,6 +120,14 @@ def score_pipeline(df: DataFrame, model: LogisticModel, check_nulls: bool = True
     return append_score(df, model.margin(scaled))
 
 
+def warn_of_gaps(gaps: Observation) -> list[str]:
+    """Features with missing values among the rows that were scored."""
+    names = sorted(name for name, count in gaps.get.items() if count)
+    if names:
+        warnings.warn(f"missing values in {names}", stacklevel=2)
+    return names
+
+
 def explain(df: DataFrame, model: LogisticModel, ids: list[str], top_n: int = 10) -> dict[str, DataFrame]:
     """The tables behind the explanation pages, for rows with raw features."""
     explained = linear_shap(scaled_inputs(df, model, ids), model, ids)

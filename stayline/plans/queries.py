@@ -268,7 +268,7 @@ def _merged(spark, folder):
         R.table(spark, folder, "customer").select("c_custkey", "c_acctbal"), events, "c_custkey"
     )
     sets = [
-        features(spark, folder).withColumnRenamed("user_id", "c_custkey")
+        T.materialize(features(spark, folder).withColumnRenamed("user_id", "c_custkey"))
         for features in (R.window_features, R.history_features)
     ]
     return FT.merge_features(base, *sets, on=["c_custkey"])
@@ -430,7 +430,7 @@ def risk_bands(spark, folder):
 @query
 def score_parts(spark, folder):
     parts = R.part_features(spark, folder).withColumn("p_size", F.when(F.col("p_size") != 7, F.col("p_size")))
-    return rounded(score_pipeline(parts, R.PART_MODEL, check_nulls=False))
+    return rounded(score_pipeline(parts, R.PART_MODEL))
 
 
 @query

@@ -110,11 +110,10 @@ def test_tree_attributions_equal_brute_force(spark, rows):
         return sum(l.value for l in leaves if all(lo < x[f] <= hi for f, (lo, hi) in l.bounds.items()))
 
     table = rows.orderBy("id").toPandas().to_numpy()[:, 1:]
-    # The leaves give the model's own margin.
-    margins = model.transform(S.assemble(target, ["a", "b", "c"])).orderBy("id").select("rawPrediction").collect()
-    assert [score(x) for x in table] == pytest.approx([r.rawPrediction[1] * 2 for r in margins]) or [
-        score(x) for x in table
-    ] == pytest.approx([r.rawPrediction[1] for r in margins])
+    # The leaves give the model's own margin: Spark's raw prediction is half the log-odds.
+    scored = model.transform(S.assemble(target, ["a", "b", "c"]).withColumnRenamed("_features", model.getFeaturesCol()))
+    margins = [2 * r.rawPrediction[1] for r in scored.orderBy("id").select("rawPrediction").collect()]
+    assert [score(x) for x in table] == pytest.approx(margins)
 
     explained = TR.tree_shap(target, model, ["a", "b", "c"], ["id"], rows, ["id"], background_rows=7)
     background = TR.sample_rows(rows, ["id"], 7).toPandas().to_numpy()[:, 1:]

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from stayline.operators import prep as P
 from stayline.operators import scoring as S
-from stayline.plans.modelling import explain, score_pipeline, train_pipeline
+from stayline.plans.modelling import explain, score_pipeline, train_pipeline, warn_of_gaps
 
 
 @pytest.fixture(scope="module")
@@ -74,11 +75,14 @@ def test_training_scoring_and_explaining_agree(spark, data):
     assert trained.model.features == ["a", "b", "c"] and set(trained.model.medians) == {"a", "b", "c"}
     assert trained.auc.first().auc > 0.7
     assert {"0", "1", "accuracy", "macro avg", "weighted avg"} == {r["class"] for r in trained.report.collect()}
-    with pytest.warns(UserWarning, match="b"):
-        scored = score_pipeline(data, trained.model)
+    gaps = Observation("gaps")
+    scored = score_pipeline(data, trained.model, gaps)
     assert scored.columns == data.columns + ["predicted_mortality_30d", "predicted_probability"]
     assert scored.filter("predicted_probability IS NULL").count() == 10
-    without = score_pipeline(data.drop("a"), trained.model, check_nulls=False)
+    with pytest.warns(UserWarning, match="'b'"):
+        assert warn_of_gaps(gaps) == ["b"]
+    scored = score_pipeline(data, trained.model)
+    without = score_pipeline(data.drop("a"), trained.model)
     assert without.filter("predicted_probability IS NOT NULL").isEmpty()
     tables = explain(data, trained.model, ["subject_id"], top_n=3)
     assert tables["waterfall"].count() == 9
@@ -95,6 +99,6 @@ def test_filter_on_the_score_of_many_features_plans_quickly(spark):
     names = [f"f{i}" for i in range(80)]
     df = spark.range(10).select(*[F.rand(i).alias(n) for i, n in enumerate(names)])
     model = S.LogisticModel(names, [0.1] * 80, 0.0, {n: (0.5, 2.0) for n in names})
-    assert score_pipeline(df, model, check_nulls=False).filter("predicted_mortality_30d = 1").count() >= 0
+    assert score_pipeline(df, model).filter("predicted_mortality_30d = 1").count() >= 0
     scored = S.score_logistic(model.scale(df), model).select("predicted_mortality_30d", "predicted_probability")
     assert S.classification_report(scored, "predicted_mortality_30d", "predicted_mortality_30d").count() >= 4
