@@ -34,8 +34,8 @@ def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFr
     # The smallest (order, other columns) is the first row itself.
     parts = [
         part
-        for c in order
-        for part in (col_named(c).isNull().alias(f"{c}_missing"), col_named(c))
+        for i, c in enumerate(order)
+        for part in (col_named(c).isNull().alias(f"_{i}_missing"), col_named(c))
     ]
     row = F.min(F.struct(*parts, *[col_named(c) for c in rest])).alias("_first")
     first = df.groupBy(*[col_named(k) for k in keys]).agg(row)

@@ -8,12 +8,15 @@ gives the long form.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from math import factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stayline.functions.predicates import col_named
 from stayline.functions.wording import DIRECTION_RISK, direction
@@ -75,11 +78,10 @@ def exact_shapley(
 
     `score` maps {feature: column} to a column. Each row scores every subset of features
     taken from the row, the others from the baseline, inside the row. The number of subsets is
-    2^k, hence at most 10 features.
+    2^k, hence at most 10 features; beyond four or five `exact_shapley_batches` is faster.
     """
     k = len(features)
-    if k > MAX_EXACT_FEATURES:
-        raise ValueError(f"exact attribution of {k} features needs 2^{k} scores per row; at most {MAX_EXACT_FEATURES}")
+    _check_width(k)
     zeros = {f: 0.0 for f in features} | dict(baseline or {})
     # The values of a row as one array, so that the subset function reads plain array cells.
     given = F.array(*[col_named(f).cast("double") for f in features])
@@ -94,7 +96,56 @@ def exact_shapley(
     subsets = F.sequence(F.lit(0), F.lit(2**k - 1))
     scored = df.withColumn("_x", given).withColumn("_scores", F.transform(subsets, subset_score))
     parts = []
-    for i, name in enumerate(features):
+    for name, factors in zip(features, subset_weights(k)):
+        products = F.zip_with(F.col("_scores"), F.lit(factors), lambda a, b: a * b)
+        parts.append((name, F.aggregate(products, F.lit(0.0), lambda total, x: total + x)))
+    return explained_frame(scored, ids, F.col("_scores")[0], parts)
+
+
+def exact_shapley_batches(
+    df: DataFrame,
+    features: list[str],
+    predict: Callable[[np.ndarray], np.ndarray],
+    ids: list[str],
+    baseline: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """`exact_shapley` for a black box that maps a (rows, features) array to scores.
+
+    The rows stream through Arrow batches and the subsets of a few rows at a time are scored in
+    one call: the choice for many features, where the column form evaluates 2^k lambdas per row.
+    """
+    k = len(features)
+    _check_width(k)
+    zeros = {f: 0.0 for f in features} | dict(baseline or {})
+    base_row = np.array([float(zeros[f]) for f in features])
+    names = [f"_shap{i}" for i in range(k)]
+    rows = df.select(*[col_named(c) for c in ids], *[col_named(f).cast("double").alias(f) for f in features])
+    schema = StructType([*rows.schema.fields, *[StructField(n, DoubleType()) for n in ["_base", *names]]])
+
+    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = np.array(subset_weights(k))
+        switched_on = (np.arange(2**k)[:, None] >> np.arange(k)) & 1 == 1
+        step = max(1, (1 << 20) // (2**k * k))
+        base = float(predict(base_row[None, :])[0])
+        for batch in batches:
+            values = batch[features].to_numpy(dtype=float)
+            out = np.empty_like(values)
+            for at in range(0, len(values), step):
+                some = values[at : at + step]
+                cells = np.where(switched_on[None], some[:, None, :], base_row)
+                scores = predict(cells.reshape(-1, k)).reshape(len(some), -1)
+                out[at : at + step] = scores @ weights.T
+            result = pd.DataFrame(out, columns=names, index=batch.index)
+            yield pd.concat([batch, result.assign(_base=base)], axis=1)[schema.fieldNames()]
+
+    scored = rows.mapInPandas(attribute, schema)
+    return explained_frame(scored, ids, F.col("_base"), [(f, F.col(n)) for f, n in zip(features, names)])
+
+
+def subset_weights(k: int) -> list[list[float]]:
+    """weights[i][subset]: factor of a subset's score in the Shapley value of feature i."""
+    weights = []
+    for i in range(k):
         factors = []
         for subset in range(2**k):
             size = bin(subset).count("1")
@@ -102,9 +153,13 @@ def exact_shapley(
                 factors.append(factorial(size - 1) * factorial(k - size) / factorial(k))
             else:
                 factors.append(-factorial(size) * factorial(k - size - 1) / factorial(k))
-        products = F.zip_with(F.col("_scores"), F.lit(factors), lambda a, b: a * b)
-        parts.append((name, F.aggregate(products, F.lit(0.0), lambda total, x: total + x)))
-    return explained_frame(scored, ids, F.col("_scores")[0], parts)
+        weights.append(factors)
+    return weights
+
+
+def _check_width(k: int) -> None:
+    if k > MAX_EXACT_FEATURES:
+        raise ValueError(f"exact attribution of {k} features needs 2^{k} scores per row; at most {MAX_EXACT_FEATURES}")
 
 
 def explode_contributions(explained: DataFrame) -> DataFrame:

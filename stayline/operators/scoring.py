@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,10 @@ class LogisticModel:
     def probability(self, values: dict[str, Column] | None = None) -> Column:
         return logistic(self.margin(values))
 
+    def predict(self, rows: np.ndarray) -> np.ndarray:
+        """Probabilities of a (rows, features) array of scaled features, inside a task."""
+        return 1.0 / (1.0 + np.exp(-(rows @ np.array(self.weights) + self.intercept)))
+
     def scale(self, df: DataFrame) -> DataFrame:
         return scale_columns(df, self.scaler)
 

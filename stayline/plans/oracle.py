@@ -435,6 +435,8 @@ subsets AS (SELECT *, {", ".join(f"{_subset_score(s)} AS s{s}" for s in range(8)
     f"SELECT p_partkey, {r('s0')} AS base_value, '{x}' AS feature, {r(x)} AS value, {r(_shapley(i))} AS shap FROM subsets"
     for i, x in enumerate(_X))}"""
 
+ORACLE["exact_shapley_batches"] = ORACLE["exact_shapley"]
+
 # ---------------------------------------------------------------- exploring
 
 ORACLE["explore_cohort"] = f"""

@@ -511,6 +511,14 @@ def exact_shapley(spark, folder):
     return rounded(X.explode_contributions(explained))
 
 
+@query
+def exact_shapley_batches(spark, folder):
+    explained = X.exact_shapley_batches(
+        R.scaled_parts(spark, folder), R.PART_FEATURES, R.PART_MODEL.predict, ["p_partkey"]
+    )
+    return rounded(X.explode_contributions(explained))
+
+
 @query
 def gbt_select_features(spark, folder):
     return select_features(

@@ -51,8 +51,14 @@ def test_exact_with_ten_features(spark):
     names = [f"f{i}" for i in range(10)]
     df = spark.range(3).select("id", *[(F.col("id") * i + 1.0).alias(n) for i, n in enumerate(names)])
     model = S.LogisticModel(names, [0.01 * (i - 4) for i in range(10)], 0.1)
-    exact = X.exact_shapley(df, names, model.probability, ["id"])
-    assert sums(exact) == pytest.approx({r.id: r.p for r in df.select("id", model.probability().alias("p")).collect()})
+    wanted = {r.id: r.p for r in df.select("id", model.probability().alias("p")).collect()}
+    columns = X.exact_shapley(df, names, model.probability, ["id"])
+    batches = X.exact_shapley_batches(df, names, model.predict, ["id"])
+    assert sums(columns) == pytest.approx(wanted) and sums(batches) == pytest.approx(wanted)
+    pairs = X.explode_contributions(columns).join(
+        X.explode_contributions(batches).withColumnRenamed("shap", "other"), ["id", "feature"])
+    assert pairs.count() == 30
+    assert pairs.agg(F.max(F.abs(F.col("shap") - F.col("other"))).alias("m")).first().m < 1e-12
 
 
 def test_contribution_table_ranks_by_size_then_name(spark):
