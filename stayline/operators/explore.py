@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.predicates import col_named, contains_any_case, equals_any_case
 from stayline.operators.joins import sized_join
+from stayline.sources.tables import materialize
 
 # Columns of the cohort listing.
 LISTING = ["subject_id", "age", "gender", "icustay_id", "mortality_30d"]
@@ -54,7 +55,8 @@ def subjects(df: DataFrame, subject: str = "subject_id") -> DataFrame:
 def lookup_subjects(df: DataFrame, wanted: DataFrame | list, subject: str = "subject_id") -> DataFrame:
     """Rows of the wanted subjects: a list of ids, or a frame with a column of them."""
     if isinstance(wanted, DataFrame):
-        return sized_join(df, subjects(wanted, subject), [subject], "left_semi")
+        # Stored once: the join measures the list before it uses it.
+        return sized_join(df, materialize(subjects(wanted, subject)), [subject], "left_semi")
     return df.filter(col_named(subject).isin(wanted))
 
 

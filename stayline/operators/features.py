@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from stayline.functions.predicates import col_named, has_number, hours_between
 from stayline.operators.joins import sized_join
+from stayline.sources.tables import materialize
 
 STATS = ("mean", "min", "max", "slope")
 MAX_LABELS = 10_000
@@ -42,13 +43,16 @@ def filter_high_coverage(
 ) -> DataFrame:
     """Rows whose label occurs in at least `min_coverage` of the entities.
 
-    With the label names at hand this is a plain filter that reaches the scan. Without them
-    the covered labels are joined in lazily.
+    A plain filter on the label names, which reaches the scan. The names are found first if they
+    are not given; a list too long for a filter is joined in instead.
     """
-    if labels is not None:
-        return df.filter(col_named(label).isin(labels))
-    kept = label_coverage(df, label, entity).filter(F.col("coverage") >= min_coverage)
-    return sized_join(df, kept.select(col_named(label)), [label], "left_semi")
+    if labels is None:
+        kept = label_coverage(df, label, entity).filter(F.col("coverage") >= min_coverage)
+        stored = materialize(kept.select(col_named(label)))
+        if stored.count() > MAX_LABELS:
+            return sized_join(df, stored, [label], "left_semi")
+        labels = _names(stored, MAX_LABELS)
+    return df.filter(col_named(label).isin(labels))
 
 
 def time_series_long(

@@ -263,7 +263,6 @@ def ts_features_wide(spark, folder):
 def _merged(spark, folder):
     """Customers with events, their window features and their history features."""
     events = R.table(spark, folder, "events").select(F.col("user_id").alias("c_custkey"))
-    events = T.materialize(E.subjects(events, "c_custkey"))
     base = E.lookup_subjects(
         R.table(spark, folder, "customer").select("c_custkey", "c_acctbal"), events, "c_custkey"
     )
