@@ -150,25 +150,23 @@ def exact_quantiles(
     """
     if not columns:
         return {}
-    counts = df.agg(
-        *[F.count(number_or_null(col_named(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(columns)]
-    ).first()
     found: dict[str, float | None] = {}
     searches: dict[tuple[str, int], _Search] = {}
     weights: dict[str, tuple[int, float]] = {}
-    small = []
-    for i, name in enumerate(columns):
-        n = counts[f"_{i}"]
-        if n == 0:
-            found[name] = None
-        elif n <= direct_rows:
-            small.append(name)
-        else:
-            place = (n - 1) * q
-            rank = floor(place)
-            weights[name] = (rank, place - rank)
-            for r in {rank, min(rank + 1, n - 1)}:
-                searches[name, r] = _Search(name, r, n)
+    small = columns
+    if df.count() > direct_rows:
+        counts = df.agg(
+            *[F.count(number_or_null(col_named(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(columns)]
+        ).first()
+        small = [c for i, c in enumerate(columns) if counts[f"_{i}"] <= direct_rows]
+        for i, name in enumerate(columns):
+            n = counts[f"_{i}"]
+            if n > direct_rows:
+                place = (n - 1) * q
+                rank = floor(place)
+                weights[name] = (rank, place - rank)
+                for r in {rank, min(rank + 1, n - 1)}:
+                    searches[name, r] = _Search(name, r, n)
     if small:
         row = df.agg(
             *[

@@ -31,13 +31,14 @@ def build_session(master: str = "local[8]", app: str = "stayline", partitions: i
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a folder of our own only in local mode."""
-    named = spark.conf.get(WORK_DIR_SETTING, None)
+    context = spark.sparkContext
+    named = spark.conf.get(WORK_DIR_SETTING, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {WORK_DIR_SETTING} to a folder that every executor can reach")
     own = tempfile.mkdtemp(prefix="stayline-")
-    spark.conf.set(WORK_DIR_SETTING, own)
+    context.setCheckpointDir(own)
     return own
 
 

@@ -7,7 +7,7 @@ from stayline.session import WORK_DIR_SETTING, work_dir
 from stayline.sources import schemas, tables as T
 
 
-def test_every_schema_has_a_key():
+def test_every_schema_has_a_key(spark):
     assert len(schemas.TABLES) == 10
     for name in schemas.TABLES:
         assert schemas.schema_of(name).fieldNames()[0] == "row_id"
@@ -66,6 +66,30 @@ def test_materialize_uses_the_session_folder(spark):
     assert all(work_dir(spark).removeprefix("file:") in f for f in df.inputFiles())
 
 
+class Unset:
+    """A session without the setting; remembers the checkpoint folder it is given."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.sparkContext = self.conf = self
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_own_folder_only_in_local_mode():
+    local = Unset("local[2]")
+    assert work_dir(local) == local.folder == work_dir(local)
+    with pytest.raises(ValueError, match=WORK_DIR_SETTING):
+        work_dir(Unset("spark://host:7077"))
+
+
 def test_key_violations(spark):
     df = spark.createDataFrame([(1, 5), (1, 6), (2, None), (None, 1), (3, 3)], "row_id INT, subject_id INT")
     got = {r.row_id: (r.n_rows, r.n_null_rows) for r in T.key_violations(df, ["row_id"], ["subject_id"]).collect()}
