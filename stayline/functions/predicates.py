@@ -55,6 +55,12 @@ def _part(unit: str, gap: Column) -> Column:
     return part if unit == "SECOND" else part.cast("long")
 
 
+def hour_number(time: Column) -> Column:
+    """Whole hours since 1970: never decreasing with time."""
+    gap = time - F.lit("1970-01-01").cast("timestamp_ntz")
+    return _part("DAY", gap) * 24 + _part("HOUR", gap)
+
+
 def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end) / F.lit(float(MICROS_PER_HOUR))
 

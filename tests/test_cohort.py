@@ -1,3 +1,6 @@
+from datetime import datetime, timedelta
+
+import numpy as np
 import pytest
 
 from stayline.operators.cohort import first_per_key, one_row_per_stay
@@ -110,3 +113,21 @@ def test_vitals_day_granularity_drops_the_first_day(spark, at, cohort):
 def test_window_rejects_unknown_granularity(spark, cohort):
     with pytest.raises(ValueError):
         window_extract(cohort, cohort, ["icustay_id"], "intime", "intime", "age", time_granularity="hour")
+
+
+@pytest.mark.parametrize("base", ["2150-01-01", "1969-12-20"])
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_many_windows_on_one_key_equal_brute_force(spark, base, max_bytes):
+    rng = np.random.default_rng(6)
+    zero = datetime.fromisoformat(base)
+    minutes = rng.integers(0, 20 * 24 * 60, 300)
+    starts = [zero + timedelta(minutes=int(m)) for m in minutes[:60]]
+    times = [zero + timedelta(minutes=int(m)) for m in minutes[60:]]
+    times += [starts[0], starts[0] + timedelta(hours=48), starts[1] + timedelta(hours=48, microseconds=1)]
+    cohort = spark.createDataFrame([(1, i, s) for i, s in enumerate(starts)], "k INT, w INT, s TIMESTAMP_NTZ")
+    events = spark.createDataFrame([(1, i, t, 1.0) for i, t in enumerate(times)], "k INT, e INT, t TIMESTAMP_NTZ, v DOUBLE")
+    wanted = sorted((w, e) for w, s in enumerate(starts) for e, t in enumerate(times) if s <= t <= s + timedelta(hours=48))
+    for crowded in (16, 1000):
+        rows = window_extract(events, cohort, ["k"], "t", "s", "v", crowded_key=crowded, max_bytes=max_bytes, sample=1.0)
+        assert rows.columns == ["k", "e", "t", "v", "w", "s"]
+        assert sorted((r.w, r.e) for r in rows.collect()) == wanted
