@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 WORK_DIR_SETTING = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
 
 
 def build_session(master: str = "local[8]", app: str = "stayline", partitions: int | None = None) -> SparkSession:
@@ -45,3 +48,14 @@ def work_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, so that two runs never collide."""
     return f"{work_dir(spark)}/stayline/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once an application, so that they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='stayline-ship-')}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
