@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import quality, simhash
+from stayline.llm import decontaminate, mixing, quality, secrets, simhash
 from stayline.llm.common import table
 from stayline.sources.tables import materialize
 
@@ -23,9 +23,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.one_of_each(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that share ten words in a row, or a whole shorter item, with the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def strike_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: spans are replaced by a mark, and the documents stay."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: one row a document, with the words that the mix takes of it; 0 leaves it out."""
+    return mixing.mix(docs)
+
+
 STAGES = [
     ("quality classifier", keep_good_quality),
     ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", strike_secrets),
+    ("mixing to target weights", mix_sources),
 ]
 #: The stages have no SQL: fitted weights and XXH64 fingerprints.
 ORACLE_SQL = None

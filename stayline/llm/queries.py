@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stayline.llm import quality, simhash
+from stayline.llm import decontaminate, mixing, quality, secrets, simhash
 from stayline.llm.common import table
+from stayline.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "REGISTRY"]
 
 REGISTRY = {}
-ORACLE: dict[str, str] = {}
 
 
 def registered(query):
@@ -22,6 +23,21 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@registered
+def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@registered
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+@registered
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 @registered
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
