@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stayline.llm.licenses import PHRASES, TEMPLATES, template_table
+
 #: Words of the word-run operators: A-Z in lower case, then runs of letters, digits and everything above ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -27,4 +29,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLE = {"op2_winnowing": OP2}
+
+
+def _places() -> str:
+    """Starts of every phrase, as a list of (label, start) structs."""
+    parts = []
+    for phrase, label in PHRASES:
+        words = phrase.split()
+        same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words, start=1))
+        parts.append(f"[{{'label': '{label}', 'at': i}} for i in range(0, len(w) - {len(words)} + 1) if {same}]")
+    return " || ".join(parts)
+
+
+def _templates() -> str:
+    rows = [f"('{t['label']}', {t['words']!r}, {t['need']})" for t in template_table(TEMPLATES)]
+    return "VALUES " + ", ".join(rows)
+
+
+OP3 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
+base AS (SELECT r, doc_id, text, len(w)::BIGINT AS n_words, {_places()} AS places FROM docs),
+lines AS (SELECT r, str_split(text, chr(10)) AS l FROM docs),
+blocks AS (
+  SELECT r, unnest(l) AS block FROM lines
+  UNION ALL SELECT r, unnest([concat_ws(' ', l[i], l[i + 1]) for i in range(1, len(l) + 1)]) FROM lines
+),
+sets AS (SELECT DISTINCT r, list_distinct({_WORDS.format("block")}) AS s FROM blocks),
+templates(label, words, need) AS ({_templates()}),
+found AS (
+  SELECT r, label, len(list_intersect(s, words)) / len(words) AS containment
+  FROM sets, templates WHERE len(s) >= need AND len(list_intersect(s, words)) >= need
+),
+labels AS (SELECT r, list(DISTINCT label) AS found, max(containment) AS containment FROM found GROUP BY r)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base,
+       list_min([p.at for p in places])::BIGINT AS first_word, list_max([p.at for p in places])::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(list_distinct([p.label for p in places])), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct([p.label for p in places] || coalesce(found, []))), ','), '') AS labels,
+       greatest(coalesce(containment, 0.0), CASE WHEN len(places) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM base LEFT JOIN labels USING (r)
+"""
+
+ORACLE = {"op2_winnowing": OP2, "op3_licenses": OP3}

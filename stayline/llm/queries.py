@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import decontaminate, mixing, quality, secrets, simhash
+from stayline.llm import decontaminate, language, lengths, licenses, mixing, quality, rules, secrets, simhash
 from stayline.llm.common import table
 from stayline.llm.oracle import ORACLE
 
@@ -28,6 +28,21 @@ def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@registered
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, folder, "documents"))
+
+
+@registered
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(table(spark, folder, "documents"))
+
+
+@registered
+def op5_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return lengths.length_report(table(spark, folder, "documents"))
+
+
 @registered
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
@@ -41,3 +56,11 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@registered
+def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = rules.judged(table(spark, folder, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
