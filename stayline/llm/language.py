@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Every language has a raw-content dictionary of its own text. A text is cut into chunks of about 2 kB, each chunk is
+Every language has a raw-content dictionary of its own text. A text is cut into chunks of 1 kB, each chunk is
 compressed once with each dictionary, and the language whose dictionary leaves the fewest bytes over the whole text wins.
 Chunks keep the dictionaries useful to the end of a long text. A narrow margin is reported as rejected.
 """
@@ -21,9 +21,9 @@ from stayline.llm.common import held_out, row_bytes, uniform
 #: A fit reads at most about SAMPLE texts of a language, the first TEXT_CHARS characters of each, until DICTIONARY bytes are full.
 SAMPLE = 200
 TEXT_CHARS = 2000
-DICTIONARY = 96 << 10
-CHUNK = 2048
-LEVEL = 3
+DICTIONARY = 32 << 10
+CHUNK = 1024
+LEVEL = 12
 #: Share of the second-best size by which the best must be smaller; less is a rejection.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -38,11 +38,11 @@ LETTERS_ONLY = _letters_only()
 
 
 def plain(data: bytes) -> bytes:
-    """Lower case, anything but letters blank; empty if the text has no letter."""
+    """Lower case, one blank for anything but letters; empty if the text has no letter."""
     text = data.decode(errors="replace").lower()
     if not any(map(str.isalpha, text)):
         return b""
-    return text.encode().translate(LETTERS_ONLY)
+    return b" ".join(text.encode().translate(LETTERS_ONLY).split())
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> dict[str, bytes]:

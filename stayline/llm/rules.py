@@ -3,7 +3,7 @@
 Each rule votes good (1), bad (0), or abstains (null) on a text. How far a rule can be trusted is not set by hand:
 expectation-maximisation over the counts of vote patterns estimates the share of good texts and each rule's two accuracies,
 and a text is kept if its posterior probability of being good reaches a threshold. There are at most 3^rules patterns, so
-the counts that come to the driver have a fixed bound.
+the counts that come to the driver have a fixed bound. The fit starts from the number of a text's bad votes.
 """
 
 from __future__ import annotations
@@ -18,23 +18,26 @@ from stayline.sources.tables import materialize
 
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
+PLAIN = r"^\p{L}[\p{L}'-]*[.,;:!?]?$"
 GRAM = 5
 MIN_WORDS = 10
 MOST_REPEATED = 20
 KEEP_AT = 0.5
 ROUNDS = 100
-#: What the fit starts from: the share of good texts, and how often a rule is right about good and bad ones.
-PRIOR, RIGHT = 0.8, 0.8
-#: Beta counts that keep accuracies off 0 and 1 and, where few texts are seen, near the start.
-STRENGTH = 10.0
+#: What the fit starts from: a text's probability of being good by its number of bad votes (the last holds for more), and the
+#: Beta counts that pull the share of good texts and the accuracies, where few texts are seen, to these values.
+START = (0.95, 0.4, 0.1)
+PRIOR, RIGHT, STRENGTH = 0.8, 0.8, 10.0
 
 #: name: (good if, bad if), over the measures of `measured`; neither is an abstention.
 RULES = {
-    "length": ("n_words >= 50", "n_words < 20"),
-    "word_length": ("word_chars between 3 * n_words and 10 * n_words", "word_chars > 15 * n_words or word_chars < 2 * n_words"),
+    "length": ("n_words >= 50", "false"),
+    "word_length": ("word_chars between 3 * n_words and 10 * n_words", "word_chars > 20 * n_words or word_chars < 2 * n_words"),
     "symbols": ("20 * n_symbols <= n_words", "5 * n_symbols > n_words"),
-    "lines": ("n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
-    "repeats": ("50 * n_repeat_words <= n_words", "10 * n_repeat_words > n_words"),
+    "letters": ("20 * n_letters >= 17 * word_chars", "4 * n_letters < 3 * word_chars"),
+    "plain_words": ("10 * n_plain >= 9 * n_words", "10 * n_plain < 6 * n_words"),
+    "lines": ("n_dup_lines = 0", "2 * n_dup_lines > n_lines"),
+    "repeats": ("50 * n_repeat_words <= n_words", "100 * n_repeat_words > 20 * n_words"),
     "capitals": ("10 * n_capitals <= 3 * n_letters", "2 * n_capitals > n_letters"),
     "shouting": ("20 * n_marks <= n_words", "5 * n_marks > n_words"),
     "variety": ("3 * n_distinct >= n_words", "10 * n_distinct < n_words"),
@@ -84,6 +87,7 @@ def measures(text: Column) -> dict[str, Column]:
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            F.size(F.filter(w, lambda x: x.rlike(PLAIN))).cast("long").alias("n_plain"),
             let(_gram_hashes(w), _covered).alias("n_repeat_words"),
         ),
     )
@@ -122,17 +126,9 @@ def estimate(patterns: dict[int, int], rounds: int = ROUNDS) -> dict[int, float]
     """
     names = list(RULES)
     digits = {code: [code // 3**p % 3 for p in range(len(names))] for code in patterns}
-    prior, good, bad = PRIOR, [RIGHT] * len(names), [RIGHT] * len(names)
-    posterior: dict[int, float] = {}
+    posterior = {code: START[min(votes.count(2), len(START) - 1)] for code, votes in digits.items()}
+    good, bad = [RIGHT] * len(names), [RIGHT] * len(names)
     for _ in range(rounds):
-        for code, votes in digits.items():
-            odds = math.log(prior / (1 - prior))
-            for p, vote in enumerate(votes):
-                if vote == 1:
-                    odds += math.log(good[p] / (1 - bad[p]))
-                elif vote == 2:
-                    odds += math.log((1 - good[p]) / bad[p])
-            posterior[code] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
         total = sum(patterns.values())
         mass = sum(n * posterior[code] for code, n in patterns.items())
         prior = (mass + STRENGTH * PRIOR) / (total + STRENGTH)
@@ -143,6 +139,14 @@ def estimate(patterns: dict[int, int], rounds: int = ROUNDS) -> dict[int, float]
             all_bad = sum(n * (1 - posterior[c]) for c, n in patterns.items() if digits[c][p])
             good[p] = (right_good + STRENGTH * RIGHT) / (all_good + STRENGTH)
             bad[p] = (right_bad + STRENGTH * RIGHT) / (all_bad + STRENGTH)
+        for code, votes in digits.items():
+            odds = math.log(prior / (1 - prior))
+            for p, vote in enumerate(votes):
+                if vote == 1:
+                    odds += math.log(good[p] / (1 - bad[p]))
+                elif vote == 2:
+                    odds += math.log((1 - good[p]) / bad[p])
+            posterior[code] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
     return posterior
 
 
