@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from stayline.llm.common import fresh, numbered, text_buffer
-from stayline.llm.tokens import ascii_fold, byte_class, hash_words, joined, mixed
+from stayline.llm.tokens import SEPARATORS, ascii_fold, byte_class, hash_words, joined, mixed
 from stayline.sources.tables import materialize
 
 WINDOW = 10
 GRAM = 5
 FILTER_BITS = 24
 PIECE = 500
-#: Bytes that are no part of a word: ASCII but letters and digits.
-SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
 MARK = StructType(
     [
         StructField("key", LongType()),

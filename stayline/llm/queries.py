@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import decontaminate, language, lengths, licenses, mixing, quality, rules, secrets, simhash
+from stayline.llm import backoff, decontaminate, language, lengths, licenses, mixing, quality, rules, secrets, simhash
 from stayline.llm.common import table
 from stayline.llm.oracle import ORACLE
 
@@ -48,6 +48,11 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+@registered
+def op7_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.score(table(spark, folder, "documents"))
+
+
 @registered
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
