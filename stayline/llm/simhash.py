@@ -33,6 +33,8 @@ BITS = 64
 BLOCKS = 4
 CROWD = 256
 CHUNK = 1 << 16
+#: Fingerprints of which one task makes the variants.
+EMIT_ROWS = 20_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -210,7 +212,9 @@ def links(distinct: DataFrame) -> DataFrame:
                 arrays = [pa.array(keys.view(np.int64)), pa.array(flips), pa.array(of.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["variant", "flips", "fp"])
 
-    variants = distinct.mapInArrow(emit, "variant long, fp long").repartition("variant")
+    # Each fingerprint makes 196 rows: as many tasks as that needs, however small the table is in bytes.
+    tasks = max(1, distinct.count() // EMIT_ROWS)
+    variants = distinct.repartition(tasks).mapInArrow(emit, "variant long, fp long").repartition("variant")
     found = variants.sortWithinPartitions("variant", "fp").mapInArrow(collide, "a long, b long")
     found = materialize(found.distinct())
     crowd = found.filter("a = b").select(F.col("a").alias("fp")).repartition("fp")
