@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from stayline.session import ship_package
 from stayline.sources.tables import materialize
@@ -44,6 +45,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_batches(df: DataFrame, scan, fields: list[StructField]) -> DataFrame:
+    """`mapInArrow` over all columns of `df` in their order, whatever their names hold; columns are known by place."""
+    inner = [f"_{i}" for i in range(len(fields))]
+
+    def placed(batches):
+        for batch in scan(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, inner)
+
+    schema = StructType([StructField(name, f.dataType, True) for name, f in zip(inner, fields)])
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(placed, schema).toDF(*[f.name for f in fields])
+
+
 def let(value: Column, body) -> Column:
     """`body(value)`, with `value` computed once a row however often the body mentions it."""
     return F.transform(F.array(value), body)[0]

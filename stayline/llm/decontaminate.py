@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from stayline.llm.common import fresh, numbered, text_buffer
+from stayline.llm.common import fresh, map_batches, numbered, text_buffer
 from stayline.llm.tokens import SEPARATORS, ascii_fold, byte_class, hash_words, joined, mixed
 from stayline.sources.tables import materialize
 
@@ -136,8 +136,8 @@ def marked(docs: DataFrame, text_column: str, keep: list[str], bits, sizes: list
                 lengths, lists = marks(*text_buffer(piece.column(len(keep))), table, sizes, window, items)
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(lengths, pa.int64()), lists], [*keep, n_words, found])
 
-    schema = StructType([*fields, StructField(n_words, LongType()), StructField(found, ArrayType(MARK))])
-    return slim.mapInArrow(scan, schema), n_words, found
+    added = [StructField(n_words, LongType()), StructField(found, ArrayType(MARK))]
+    return map_batches(slim, scan, [*fields, *added]), n_words, found
 
 
 def item_marks(benchmark: DataFrame, id_column: str, text_column: str, window: int) -> DataFrame:

@@ -46,7 +46,7 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def closest_subset(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length to take so that their sum comes as near below the budget as can be.
+    """How many of each length to take so that their sum comes as near the budget as can be, the lower sum in a draw.
 
     Every length first gives its share of nine tenths of the budget, or of all but CAPACITY / 2; what is left is taken longest
     first down to CAPACITY / 2 words, and closed by the program, as near as the counts left allow.
@@ -62,10 +62,11 @@ def closest_subset(counts: dict[int, int], budget: int) -> dict[int, int]:
         more = min(counts[length] - taken[length], max(0, left - CAPACITY // 2) // length)
         taken[length] += more
         left -= more * length
-    # Bits of `reach` are the sums that can be had; each step offers 1, 2, 4, ... further documents of one length.
-    reach, steps, mask = 1, [], (1 << (left + 1)) - 1
+    # Bits of `reach` are the sums that can be had, up to twice what is left; each step offers 1, 2, 4, ... further documents
+    # of one length.
+    reach, steps, mask = 1, [], (1 << (2 * left + 1)) - 1
     for length in sorted(counts):
-        spare = min(counts[length] - taken[length], left // length)
+        spare = min(counts[length] - taken[length], 2 * left // length)
         pack = 1
         while spare > 0 and not reach >> left & 1:
             pack = min(pack, spare)
@@ -75,7 +76,11 @@ def closest_subset(counts: dict[int, int], budget: int) -> dict[int, int]:
                 reach = grown
             spare -= pack
             pack *= 2
-    best = reach.bit_length() - 1
+    under = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    over = reach >> (left + 1)
+    # The lowest sum above, if it is nearer than the highest up to the budget.
+    above = left + (over & -over).bit_length() if over else 2 * left + 1
+    best = above if above - left < left - under else under
     for before, length, pack in reversed(steps):
         if not before >> best & 1:
             taken[length] += pack

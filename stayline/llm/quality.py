@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from stayline.llm.common import fresh, held_out, text_buffer, uniform
+from stayline.llm.common import fresh, held_out, map_batches, text_buffer, uniform
 from stayline.llm.tokens import ascii_fold, byte_class, hash_words, joined, mixed
 
 #: Weights; a power of two.
@@ -168,7 +168,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
                 p = sigmoid(margins(model.value, *text_buffer(piece.column(at))))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p)], [*piece.schema.names, out])
 
-    return plain.mapInArrow(scan, StructType([*plain.schema.fields, StructField(out, DoubleType())]))
+    return map_batches(plain, scan, [*plain.schema.fields, StructField(out, DoubleType())])
 
 
 def predictions(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **columns: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from stayline.llm.common import fresh, row_bytes
+from stayline.llm.common import fresh, map_batches, row_bytes
 from stayline.sources.tables import materialize
 
 ASSIGN = re.compile(rb"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -137,7 +137,7 @@ def scanned(docs: DataFrame, keep: list[str], text_column: str) -> tuple[DataFra
                 blank = [pa.nulls(len(pairs), t) for t in (*kinds, span_type, run_type)]
                 yield pa.RecordBatch.from_arrays([*blank, pa.array(pairs, count_type)], names)
 
-    return slim.mapInArrow(scan, StructType([*fields, *added])), spans, found, counts
+    return map_batches(slim, scan, [*fields, *added]), spans, found, counts
 
 
 def ratios(cells: list[tuple[int, int, int]]) -> np.ndarray:
@@ -249,7 +249,7 @@ def redact(docs: DataFrame, text_column: str = "text", size_column: str | None =
 
     docs_columns = docs.columns
     plain = rows.filter(F.col(counts).isNull()).drop(counts)
-    out = plain.mapInArrow(judge, StructType([*[StructField(f.name, f.dataType, True) for f in docs.schema.fields], StructField(changed, BooleanType())]))
+    out = map_batches(plain, judge, [*docs.schema.fields, StructField(changed, BooleanType())])
     if size_column in docs.columns:
         length = F.char_length(F.col(f"`{text_column}`")).cast(docs.schema[size_column].dataType)
         out = out.withColumn(size_column, F.when(F.col(changed), length).otherwise(F.col(f"`{size_column}`")))

@@ -20,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
-from stayline.llm.common import fresh, numbered, row_bytes
+from stayline.llm.common import fresh, map_batches, numbered, row_bytes
 from stayline.llm.components import components
 from stayline.sources.tables import materialize
 
@@ -265,8 +265,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             prints = np.fromiter((fingerprint(t, shingle) for t in row_bytes(batch.column(text_at))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, fp])
 
-    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
-    whole = numbered(docs.mapInArrow(scan, schema), row)
+    whole = numbered(map_batches(docs, scan, [*docs.schema.fields, StructField(fp, LongType())]), row)
     prints = whole.select(F.col(row).alias("row"), F.col(id_column).alias("id"), F.col(fp).alias("fp"))
     order = F.struct(F.col("id").isNull(), "id", "row")
     firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
