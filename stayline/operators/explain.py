@@ -22,7 +22,10 @@ from stayline.functions.predicates import col_named
 from stayline.functions.wording import DIRECTION_RISK, direction
 from stayline.operators.joins import sized_join
 from stayline.operators.scoring import LogisticModel
+from stayline.session import ship_package
+from stayline.sources.tables import materialize
 
+#: Exact attribution takes 2^k scores per row; more features must be asked for.
 MAX_EXACT_FEATURES = 10
 
 
@@ -73,15 +76,16 @@ def exact_shapley(
     score: Callable[[dict[str, Column]], Column],
     ids: list[str],
     baseline: Mapping[str, float] | None = None,
+    max_features: int = MAX_EXACT_FEATURES,
 ) -> DataFrame:
     """Shapley values of any score expression against one baseline row (zeros by default).
 
     `score` maps {feature: column} to a column. Each row scores every subset of features
     taken from the row, the others from the baseline, inside the row. The number of subsets is
-    2^k, hence at most 10 features; beyond four or five `exact_shapley_batches` is faster.
+    2^k, hence at most `max_features` features; beyond four or five `exact_shapley_batches` is faster.
     """
     k = len(features)
-    _check_width(k)
+    _check_width(k, max_features)
     zeros = {f: 0.0 for f in features} | dict(baseline or {})
     # The values of a row as one array, so that the subset function reads plain array cells.
     given = F.array(*[col_named(f).cast("double") for f in features])
@@ -108,6 +112,7 @@ def exact_shapley_batches(
     predict: Callable[[np.ndarray], np.ndarray],
     ids: list[str],
     baseline: Mapping[str, float] | None = None,
+    max_features: int = MAX_EXACT_FEATURES,
 ) -> DataFrame:
     """`exact_shapley` for a black box that maps a (rows, features) array to scores.
 
@@ -115,11 +120,17 @@ def exact_shapley_batches(
     one call: the choice for many features, where the column form evaluates 2^k lambdas per row.
     """
     k = len(features)
-    _check_width(k)
+    _check_width(k, max_features)
     zeros = {f: 0.0 for f in features} | dict(baseline or {})
     base_row = np.array([float(zeros[f]) for f in features])
+    ship_package(df.sparkSession)
     names = [f"_shap{i}" for i in range(k)]
-    rows = df.select(*[col_named(c) for c in ids], *[col_named(f).cast("double").alias(f) for f in features])
+    # Batches look columns up by name: plain ones inside, the given ones outside.
+    inner = [f"_f{i}" for i in range(k)]
+    rows = df.select(
+        *[col_named(c).alias(f"_i{i}") for i, c in enumerate(ids)],
+        *[col_named(f).cast("double").alias(n) for f, n in zip(features, inner)],
+    )
     schema = StructType([*rows.schema.fields, *[StructField(n, DoubleType()) for n in ["_base", *names]]])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +139,7 @@ def exact_shapley_batches(
         step = max(1, (1 << 20) // (2**k * k))
         base = float(predict(base_row[None, :])[0])
         for batch in batches:
-            values = batch[features].to_numpy(dtype=float)
+            values = batch[inner].to_numpy(dtype=float)
             out = np.empty_like(values)
             for at in range(0, len(values), step):
                 some = values[at : at + step]
@@ -138,7 +149,12 @@ def exact_shapley_batches(
             result = pd.DataFrame(out, columns=names, index=batch.index)
             yield pd.concat([batch, result.assign(_base=base)], axis=1)[schema.fieldNames()]
 
-    scored = rows.mapInPandas(attribute, schema)
+    scored = rows.mapInPandas(attribute, schema).select(
+        *[F.col(f"_i{i}").alias(c) for i, c in enumerate(ids)],
+        *[F.col(n).alias(f) for f, n in zip(features, inner)],
+        "_base",
+        *names,
+    )
     return explained_frame(scored, ids, F.col("_base"), [(f, F.col(n)) for f, n in zip(features, names)])
 
 
@@ -157,9 +173,9 @@ def subset_weights(k: int) -> list[list[float]]:
     return weights
 
 
-def _check_width(k: int) -> None:
-    if k > MAX_EXACT_FEATURES:
-        raise ValueError(f"exact attribution of {k} features needs 2^{k} scores per row; at most {MAX_EXACT_FEATURES}")
+def _check_width(k: int, most: int) -> None:
+    if k > most:
+        raise ValueError(f"exact attribution of {k} features needs 2^{k} scores per row; at most {most}")
 
 
 def explode_contributions(explained: DataFrame) -> DataFrame:
@@ -249,5 +265,6 @@ def beeswarm_table(explained: DataFrame) -> DataFrame:
     """Every attribution with its feature's place in the global ranking."""
     # One row per feature: the window is as short as the feature list.
     rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("mean_abs_shap").desc(), "feature"))
-    places = global_importance(explained).select("feature", rank.cast("long").alias("feature_rank"))
+    # Stored: the join measures the ranking before it uses it.
+    places = materialize(global_importance(explained).select("feature", rank.cast("long").alias("feature_rank")))
     return sized_join(explode_contributions(explained), places, ["feature"])
