@@ -17,13 +17,16 @@ MAX_LABELS = 10_000
 def label_coverage(df: DataFrame, label: str, entity: str, approx: bool = False) -> DataFrame:
     """Per label: in how many entities it occurs, and their share of all entities in `df`.
 
-    Distinct counts run as partial aggregates on (label, entity), so neither a frequent label
-    nor a frequent entity ends up in one task.
+    The distinct (label, entity) pairs are found in one pass, by partial aggregates that neither a
+    frequent label nor a frequent entity brings into one task, and written; both counts read the pairs.
     """
+    pairs = df.select(col_named(label), col_named(entity))
+    if not approx:
+        pairs = materialize(pairs.distinct())
     distinct = F.approx_count_distinct if approx else F.countDistinct
-    total = df.select(distinct(col_named(entity)).alias("n")).scalar()
+    total = pairs.select(distinct(col_named(entity)).alias("n")).scalar()
     return (
-        df.filter(col_named(label).isNotNull())
+        pairs.filter(col_named(label).isNotNull())
         .groupBy(col_named(label))
         .agg(distinct(col_named(entity)).alias("n_entities"))
         .withColumn("coverage", F.col("n_entities") / total)
@@ -43,16 +46,13 @@ def filter_high_coverage(
 ) -> DataFrame:
     """Rows whose label occurs in at least `min_coverage` of the entities.
 
-    A plain filter on the label names, which reaches the scan. The names are found first if they
-    are not given; a list too long for a filter is joined in instead.
+    With the label names given it is a plain filter, which reaches the scan. Otherwise the labels are
+    found, stored and joined in, however many they are.
     """
-    if labels is None:
-        kept = label_coverage(df, label, entity).filter(F.col("coverage") >= min_coverage)
-        stored = materialize(kept.select(col_named(label)))
-        if stored.count() > MAX_LABELS:
-            return sized_join(df, stored, [label], "left_semi")
-        labels = _names(stored, MAX_LABELS)
-    return df.filter(col_named(label).isin(labels))
+    if labels is not None:
+        return df.filter(col_named(label).isin(labels))
+    kept = label_coverage(df, label, entity).filter(F.col("coverage") >= min_coverage)
+    return sized_join(df, materialize(kept.select(col_named(label))), [label], "left_semi")
 
 
 def time_series_long(
@@ -66,28 +66,40 @@ def time_series_long(
     """Mean, min, max and least-squares slope per hour of every (entity, label) series.
 
     One aggregate with partial sums before the shuffle. A single reading has no slope;
-    readings that all share one time have slope 0. The slope does not depend on the origin;
-    an origin near the readings (such as the window start) keeps the sums well conditioned.
+    readings that all share one time have slope 0. Times count from `origin`, which should be near
+    the readings (such as the window start): far from it the sums lose the slope. Without one they count
+    from the entity's first reading, found by one more aggregate and joined in.
     """
-    start = F.lit("1970-01-01").cast("timestamp_ntz") if origin is None else origin
+    used = df.filter(has_number(col_named(value)) & col_named(label).isNotNull())
+    if origin is None:
+        used, origin = with_first_time(used, entity, time)
     # The time axis is a column of its own, so that it is computed once per reading.
-    series = df.filter(has_number(col_named(value)) & col_named(label).isNotNull()).select(
+    series = used.select(
         *[col_named(e) for e in entity],
         col_named(label),
         col_named(value).cast("double").alias("_value"),
-        hours_between(start, col_named(time)).alias("_hours"),
+        col_named(time).alias("_time"),
+        hours_between(origin, col_named(time)).alias("_hours"),
     )
     return series.groupBy(*[col_named(e) for e in entity], col_named(label)).agg(
         F.avg("_value").alias("mean"),
         F.min("_value").alias("min"),
         F.max("_value").alias("max"),
         F.when(F.count("_value") == 1, F.lit(None))
-        .when(F.min("_hours") == F.max("_hours"), F.lit(0.0))
+        .when(F.min("_time") == F.max("_time"), F.lit(0.0))
         .otherwise(F.regr_slope("_value", "_hours"))
         .alias("slope"),
     )
 
 
+def with_first_time(df: DataFrame, entity: list[str], time: str) -> tuple[DataFrame, Column]:
+    """The rows joined with the earliest time of their entity, and that time; entities that are null keep the epoch."""
+    first = df.groupBy(*[col_named(e) for e in entity]).agg(F.min(col_named(time)).alias("_first"))
+    joined = sized_join(df, materialize(first), entity, "left")
+    return joined, F.coalesce(F.col("_first"), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+# How a generated column is named.
 def feature_name(stat: str, label: str) -> str:
     return f"{stat}_{label}".lower().replace(" ", "_")
 
@@ -135,10 +147,11 @@ def time_series_features(
     value: str,
     labels: list[str] | None = None,
     origin: Column | None = None,
+    max_labels: int = MAX_LABELS,
 ) -> DataFrame:
     """Wide features of long measurements: `time_series_long` followed by `pivot_features`."""
     long = time_series_long(df, entity, label, time, value, origin)
-    return pivot_features(long, entity, label, labels)
+    return pivot_features(long, entity, label, labels, max_labels=max_labels)
 
 
 def merge_features(base: DataFrame, *features: DataFrame, on: list[str], **join_options) -> DataFrame:
@@ -198,8 +211,12 @@ def drop_sparse_columns(
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
-    """Rows without any null."""
-    return df.dropna("any")
+    """Rows without any null or NaN, whatever the columns are called."""
+    whole = F.lit(True)
+    for field in df.schema.fields:
+        column = col_named(field.name)
+        whole = whole & (has_number(column) if isinstance(field.dataType, (DoubleType, FloatType)) else column.isNotNull())
+    return df.filter(whole)
 
 
 def drop_sparse_complete(df: DataFrame, min_coverage: float = 0.8, **column_rules) -> DataFrame:

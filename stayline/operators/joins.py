@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, BinaryType, StringType
 
@@ -46,13 +46,13 @@ def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE, sample: flo
     keys = df.select(*[col_named(c) for c in on]).dropna()
     if sample < 1.0:
         keys = keys.sample(fraction=sample, seed=7)
-    counts = keys.groupBy(*[col_named(c) for c in on]).count()
-    most = int(1 / share)
-    top = counts.orderBy(F.col("count").desc()).limit(most).collect()
+    # The total is observed on the counts while the largest are picked: one pass over the facts.
+    rows = Observation()
+    counts = keys.groupBy(*[col_named(c) for c in on]).count().observe(rows, F.sum("count").alias("total"))
+    top = counts.orderBy(F.col("count").desc()).limit(int(1 / share)).collect()
     if not top:
         return []
-    total = keys.count()
-    return [tuple(row[c] for c in on) for row in top if row["count"] >= share * total]
+    return [tuple(row[c] for c in on) for row in top if row["count"] >= share * rows.get["total"]]
 
 
 def _is_one_of(on: list[str], keys: list[tuple]) -> Column:

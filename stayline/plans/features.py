@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stayline.functions.predicates import col_named
 from stayline.operators.columns import drop_leaky_columns, numeric_columns, select_final
 from stayline.operators.explain import global_importance
 from stayline.operators.features import (
+    MAX_LABELS,
     drop_sparse_complete,
     filter_high_coverage,
     high_coverage_labels,
     merge_features,
     time_series_features,
 )
+from stayline.operators.joins import sized_join
 from stayline.operators.prep import drop_missing_target, hash_split, split_parts
 from stayline.operators.scoring import fit_boosted_trees
 from stayline.operators.trees import tree_shap
@@ -30,12 +33,22 @@ def covered_features(
     value: str,
     min_coverage: float,
     labels: list[str] | None = None,
+    starts: DataFrame | None = None,
+    max_labels: int = MAX_LABELS,
 ) -> DataFrame:
-    """Wide features of the labels that occur in enough entities."""
+    """Wide features of the labels that occur in enough entities.
+
+    `starts` has one row per entity, with the time its slopes count from as its other column;
+    without it they count from the entity's first reading.
+    """
     if labels is None:
-        labels = high_coverage_labels(readings, label, entity, min_coverage)
+        labels = high_coverage_labels(readings, label, entity, min_coverage, max_labels)
     covered = filter_high_coverage(readings, label, entity, min_coverage, labels)
-    return time_series_features(covered, [entity], label, time, value, labels)
+    origin = None
+    if starts is not None:
+        covered = sized_join(covered, starts.toDF(entity, "_start"), [entity], "left")
+        origin = F.coalesce(F.col("_start"), col_named(time))
+    return time_series_features(covered, [entity], label, time, value, labels, origin, max_labels)
 
 
 def build_features(
@@ -47,20 +60,28 @@ def build_features(
     labs_coverage: float = 0.70,
     column_coverage: float = 0.8,
     path: str | None = None,
+    start: str = "intime",
+    max_labels: int = MAX_LABELS,
     **column_rules,
 ) -> DataFrame:
     """Cohort rows with the features of both measurement sets, sparse columns and rows dropped.
 
-    Each feature set is written once, as the merge measures it before joining it; so are the merged
+    Slopes count from the earliest `start` of a stay if the cohort has that column, else from its first
+    reading. Every covered label becomes four columns; more than `max_labels` of them raise. Each feature set is written once, as the merge measures it before joining it; so are the merged
     rows (under `path`, or the shared work folder), which the column coverage and the result read.
     """
-    vital_features = materialize(
-        covered_features(vitals, stay, "vitals_label", "charttime", "vitals_valuenum", vitals_coverage)
-    )
-    lab_features = materialize(
-        covered_features(labs, stay, "labs_label", "charttime", "labs_valuenum", labs_coverage)
-    )
-    merged = materialize(merge_features(cohort, vital_features, lab_features, on=[stay]), path)
+    starts = None
+    if start in cohort.columns:
+        starts = materialize(cohort.groupBy(col_named(stay)).agg(F.min(col_named(start)).alias("_start")))
+    sets = [
+        materialize(
+            covered_features(
+                readings, stay, f"{kind}_label", "charttime", f"{kind}_valuenum", coverage, starts=starts, max_labels=max_labels
+            )
+        )
+        for readings, kind, coverage in ((vitals, "vitals", vitals_coverage), (labs, "labs", labs_coverage))
+    ]
+    merged = materialize(merge_features(cohort, *sets, on=[stay]), path)
     return drop_sparse_complete(merged, column_coverage, **column_rules)
 
 
@@ -85,7 +106,7 @@ def rank_features(
     marked = materialize(hash_split(narrow, key, test_size, seed, stratify_by=target))
     train, test = split_parts(marked)
     model = fit_boosted_trees(train, features, target, trees, depth, rate, seed)
-    explained = tree_shap(test, model, features, key, background=train, background_key=key, seed=seed)
+    explained = tree_shap(test, model, features, key, background=train)
     return global_importance(explained)
 
 
