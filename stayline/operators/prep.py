@@ -9,54 +9,52 @@ from math import floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
-from stayline.functions.predicates import col_named, number_or_null
+from stayline.functions.predicates import col_named, has_number, number_or_null
 from stayline.operators.columns import drop_columns, numeric_columns
 from stayline.operators.joins import sized_join
 from stayline.sources.tables import materialize
 
-HASH_SPACE = 1 << 32
-HASH_HALF = 1 << 16
+HASH_BITS = 60
+HASH_STEP = 20
 DIRECT_ROWS = 100_000
+MAX_LEVELS = 1_000
 
 
 # ---------------------------------------------------------------- split and sample
 
 
 def order_hash(key: list[str], seed: int) -> Column:
-    """A 32-bit number from seed and key: the same on every run, machine and partitioning."""
+    """A 60-bit number from seed and key: the same on every run, machine and partitioning."""
     text = F.concat_ws(":", F.lit(str(seed)), *[col_named(k).cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def hash_cutoffs(hashed: DataFrame, strata: list[str], wanted: Column) -> DataFrame:
     """Per stratum the smallest hash `cut` such that `wanted` rows have a hash up to it.
 
-    `wanted` is a column over `n_rows`, the size of the stratum. Two histograms of at most
-    65,536 counts each: first over the upper half of the hash, then over the lower half
-    inside the one upper bin where the cut falls. No task ever sorts the rows. The results of
-    both steps are one row per stratum; they are written so that no pass runs twice.
+    `wanted` is a column over `n_rows`, the size of the stratum. Three histograms of at most 2^20
+    counts each: over the upper bits of the hash, then over the next ones inside the one bin where the
+    cut falls, and so on. No task ever sorts the rows. Each step leaves one row per stratum, which is
+    written, so that no pass runs twice; `hashed` is read three times and should be stored.
     """
-    upper = F.shiftright(F.col("_hash"), 16)
     by = [col_named(s) for s in strata]
-    bins = hashed.groupBy(*by, upper.alias("_upper")).agg(F.count(F.lit(1)).alias("_n"))
     whole = W.partitionBy(*by)
-    first = materialize(
-        bins.withColumn("_upto", F.sum("_n").over(whole.orderBy("_upper")))
-        .withColumn("n_rows", F.sum("_n").over(whole))
-        .withColumn("wanted", wanted)
-        .filter((F.col("_upto") >= F.col("wanted")) & (F.col("_upto") - F.col("_n") < F.col("wanted")))
-        .select(*by, "_upper", (F.col("wanted") - (F.col("_upto") - F.col("_n"))).alias("_left"))
-    )
-    on = [*strata, "_upper"]
-    inside = sized_join(hashed.withColumn("_upper", upper), first, on)
-    fine = inside.groupBy(*by, "_hash").agg(F.count(F.lit(1)).alias("_n"), F.first("_left").alias("_left"))
-    return materialize(
-        fine.withColumn("_upto", F.sum("_n").over(whole.orderBy("_hash")))
-        .filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")))
-        .select(*by, F.col("_hash").alias("cut"))
-    )
+    found = None
+    for shift in range(HASH_BITS - HASH_STEP, -1, -HASH_STEP):
+        inside, carried = hashed, []
+        if found is not None:
+            inside = sized_join(hashed.withColumn("_bin", F.shiftright("_hash", shift + HASH_STEP)), found, [*strata, "_bin"])
+            carried = [F.first("_left").alias("_left")]
+        bins = inside.groupBy(*by, F.shiftright("_hash", shift).alias("_bin_")).agg(F.count(F.lit(1)).alias("_n"), *carried)
+        bins = bins.withColumn("_upto", F.sum("_n").over(whole.orderBy("_bin_")))
+        if found is None:
+            bins = bins.withColumn("n_rows", F.sum("_n").over(whole)).withColumn("_left", wanted)
+        at = (F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left"))
+        left = F.col("_left") - (F.col("_upto") - F.col("_n"))
+        found = materialize(bins.filter(at).select(*by, F.col("_bin_").alias("_bin"), left.alias("_left")))
+    return found.select(*by, F.col("_bin").alias("cut"))
 
 
 def hash_split(
@@ -74,13 +72,13 @@ def hash_split(
     """
     hashed = df.withColumn("_hash", order_hash(key, seed))
     if stratify_by is None:
-        limit = int(test_size * HASH_SPACE)
+        limit = int(test_size * (1 << HASH_BITS))
         return hashed.withColumn("is_test", F.col("_hash") < limit).drop("_hash")
     if test_size <= 0:
         return df.withColumn("is_test", F.lit(False))
-    known = hashed.select(col_named(stratify_by), "_hash").dropna()
-    cuts = hash_cutoffs(known, [stratify_by], F.ceil(F.col("n_rows") * F.lit(test_size)))
-    cut = sized_join(hashed, cuts, [stratify_by], "left")
+    known = materialize(hashed.select(col_named(stratify_by).alias("_stratum"), "_hash").dropna())
+    cuts = hash_cutoffs(known, ["_stratum"], F.ceil(F.col("n_rows") * F.lit(test_size)))
+    cut = sized_join(hashed.withColumn("_stratum", col_named(stratify_by)), cuts, ["_stratum"], "left")
     is_test = F.coalesce(F.col("_hash") <= F.col("cut"), F.lit(False))
     return cut.select(*[col_named(c) for c in df.columns], is_test.alias("is_test"))
 
@@ -91,26 +89,26 @@ def split_parts(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
-    return df.dropna(subset=[target])
+    column = col_named(target)
+    is_number = isinstance(df.schema[target].dataType, (DoubleType, FloatType))
+    return df.filter(has_number(column) if is_number else column.isNotNull())
 
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """A reproducible sample of at most `n` rows: those with the smallest hash of the key."""
-    if n > DIRECT_ROWS:
-        hashed = df.withColumn("_hash", order_hash(key, seed))
-        cut = hash_cutoffs(
-            hashed.withColumn("_all", F.lit(0)).select("_all", "_hash"),
-            ["_all"],
-            F.least(F.col("n_rows"), F.lit(n)),
-        ).select(F.max("cut"))
-        limit = cut.first()[0]
-        if limit is None:
-            return df.limit(0)
-        below = hashed.filter(F.col("_hash") < limit)
-        room = n - below.count()
-        last = hashed.filter(F.col("_hash") == limit).orderBy(*[col_named(k) for k in key]).limit(room)
-        return below.unionByName(last).drop("_hash")
-    return df.orderBy(order_hash(key, seed), *[col_named(k) for k in key]).limit(n)
+    """A reproducible sample of at most `n` rows: those with the smallest hash of the key.
+
+    The hash up to which rows are taken comes from histograms of the stored hashes, whatever `n` is; rows
+    that share the last hash fill up in the order of their keys.
+    """
+    hashed = df.withColumn("_hash", order_hash(key, seed))
+    stored = materialize(hashed.select(F.lit(0).alias("_all"), "_hash"))
+    limit = hash_cutoffs(stored, ["_all"], F.least(F.col("n_rows"), F.lit(n))).select(F.max("cut")).first()[0]
+    if limit is None:
+        return df.limit(0)
+    below = hashed.filter(F.col("_hash") < limit)
+    room = n - stored.filter(F.col("_hash") < limit).count()
+    last = hashed.filter(F.col("_hash") == limit).orderBy(*[col_named(k) for k in key]).limit(room)
+    return below.unionByName(last).drop("_hash")
 
 
 # ---------------------------------------------------------------- exact medians
@@ -128,7 +126,7 @@ class _Search:
     value: float | None = None
 
     def inside(self) -> Column:
-        values = number_or_null(col_named(self.column).cast("double"))
+        values = F.col(self.column)
         condition = values.isNotNull()
         if self.low is not None:
             condition = condition & (values > self.low)
@@ -142,56 +140,49 @@ def exact_quantiles(
 ) -> dict[str, float | None]:
     """Exact quantiles of each column (linear between the two neighbours, nulls skipped).
 
-    Up to `direct_rows` values Spark's `percentile` is used. Above that its value map would
-    grow with the data in one task, so the range is first narrowed: an approximate percentile gives
-    two values around the wanted rank, counts at these values say which side the rank lies on, and the
-    search goes on strictly between them. Each round leaves a small share of the rows, and values
-    repeated many times end the search at once. Only counts and bounds reach the driver.
+    Two ranks are looked for in every column. A value map as large as the data would not fit one task, so
+    the range is first narrowed: an approximate percentile gives two values around the wanted rank, counts
+    at these values say which side the rank lies on, and the search goes on strictly between them. Each
+    round leaves a small share of the rows, and values repeated many times end the search at once;
+    `direct_rows` values or fewer are picked from directly. Only counts and bounds reach the driver. The
+    columns are written once, as every round reads them.
     """
     if not columns:
         return {}
-    found: dict[str, float | None] = {}
+    names = [f"_{i}" for i in range(len(columns))]
+    stored = materialize(df.select(*[number_or_null(col_named(c).cast("double")).alias(n) for c, n in zip(columns, names)]))
+    sizes = stored.agg(*[F.count(n).alias(n) for n in names]).first()
     searches: dict[tuple[str, int], _Search] = {}
-    weights: dict[str, tuple[int, float]] = {}
-    small = columns
-    if df.count() > direct_rows:
-        counts = df.agg(
-            *[F.count(number_or_null(col_named(c).cast("double"))).alias(f"_{i}") for i, c in enumerate(columns)]
-        ).first()
-        small = [c for i, c in enumerate(columns) if counts[f"_{i}"] <= direct_rows]
-        for i, name in enumerate(columns):
-            n = counts[f"_{i}"]
-            if n > direct_rows:
-                place = (n - 1) * q
-                rank = floor(place)
-                weights[name] = (rank, place - rank)
-                for r in {rank, min(rank + 1, n - 1)}:
-                    searches[name, r] = _Search(name, r, n)
-    if small:
-        row = df.agg(
-            *[
-                F.percentile(number_or_null(col_named(c).cast("double")), q).alias(f"_{i}")
-                for i, c in enumerate(small)
-            ]
-        ).first()
-        found.update({c: row[f"_{i}"] for i, c in enumerate(small)})
+    places: dict[str, tuple[int, float]] = {}
+    for name in names:
+        if sizes[name]:
+            place = (sizes[name] - 1) * q
+            places[name] = (floor(place), place - floor(place))
+            for rank in {floor(place), min(floor(place) + 1, sizes[name] - 1)}:
+                searches[name, rank] = _Search(name, rank, sizes[name])
     while open_searches := [s for s in searches.values() if s.value is None]:
-        _narrow(df, open_searches, direct_rows, accuracy)
-    for name, (rank, share) in weights.items():
-        low = searches[name, rank].value
-        high = searches[name, rank + 1].value if share else low
-        found[name] = low + (high - low) * share
+        _narrow(stored, open_searches, direct_rows, accuracy)
+    found: dict[str, float | None] = dict.fromkeys(columns)
+    for column, name in zip(columns, names):
+        if name in places:
+            rank, share = places[name]
+            low = searches[name, rank].value
+            high = searches[name, rank + 1].value if share else low
+            # Equal infinities have no difference.
+            found[column] = low if low == high else low + (high - low) * share
     return found
 
 
 def _narrow(df: DataFrame, searches: list[_Search], direct_rows: int, accuracy: int) -> None:
     """One round: settle the searches that are small enough, narrow the others."""
+    df = df.select("*", *[s.inside().alias(f"_inside{i}") for i, s in enumerate(searches)])
     picks = []
     for i, s in enumerate(searches):
-        inside = s.inside()
+        inside = F.col(f"_inside{i}")
         if s.rows <= direct_rows:
-            share = s.rank / (s.rows - 1) if s.rows > 1 else 0.0
-            picks.append(F.array(F.percentile(inside, share)).alias(f"_{i}"))
+            # The value at the rank itself: half a step into it.
+            share = (s.rank + 0.5) / s.rows
+            picks.append(F.array(F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY _inside{i})")).alias(f"_{i}"))
         else:
             margin = 2.0 / accuracy
             middle = (s.rank + 0.5) / s.rows
@@ -283,7 +274,7 @@ def scale_columns(df: DataFrame, scaler: Mapping[str, tuple[float, float]]) -> D
 # ---------------------------------------------------------------- one-hot
 
 
-def column_levels(df: DataFrame, column: str, max_levels: int = 1_000) -> list[str]:
+def column_levels(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[str]:
     """Sorted distinct values. Too many is an error: such a column is no category."""
     rows = df.select(col_named(column)).distinct().dropna().limit(max_levels + 1).collect()
     if len(rows) > max_levels:
@@ -296,18 +287,19 @@ def one_hot(
     columns: list[str] | None = None,
     drop_first: bool = True,
     levels: Mapping[str, list[str]] | None = None,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """Replaces each column by 0/1 columns `{column}_{level}`, without the first level if asked.
 
     A null is 0 in all of them. The new columns follow the untouched ones. Without `columns`
-    every text column is encoded.
+    every text column is encoded; one with more than `max_levels` values raises.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     rest = [col_named(c) for c in df.columns if c not in columns]
     flags = []
     for name in columns:
-        values = (levels or {}).get(name) or column_levels(df, name)
+        values = (levels or {}).get(name) or column_levels(df, name, max_levels)
         for value in values[1:] if drop_first else values:
             flags.append(F.coalesce((col_named(name) == value).cast("int"), F.lit(0)).alias(f"{name}_{value}"))
     return df.select(*rest, *flags)

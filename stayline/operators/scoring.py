@@ -19,6 +19,9 @@ from stayline.sources.tables import materialize, save_dataset
 PREDICTED_CLASS = "predicted_mortality_30d"
 PREDICTED_PROBABILITY = "predicted_probability"
 
+AUC_BIN_ROWS = 100_000
+AUC_BINS = 10_000
+
 
 @dataclass
 class LogisticModel:
@@ -195,11 +198,11 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return classes.select("class", *measures, "support").unionByName(means.select(F.inline(F.array(*lines))))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, bins: int = 1000) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, bin_rows: int = AUC_BIN_ROWS) -> DataFrame:
     """Area under the ROC curve: share of (positive, negative) pairs ordered rightly, ties half.
 
-    Rows are first counted per distinct score. The scores are cut into bins of about equal
-    numbers of distinct scores; the negatives below a bin come from a running sum over the bins
+    Rows are first counted per distinct score. The scores are cut into bins of about `bin_rows`
+    distinct scores, up to AUC_BINS of them; the negatives below a bin come from a running sum over the bins
     (one small row each), those inside it from a running sum partitioned by bin. The
     arithmetic is on whole numbers, so the result does not depend on the order of the rows.
     The counts are written once, as three steps read them.
@@ -211,6 +214,7 @@ def roc_auc(df: DataFrame, label: str, score: str, bins: int = 1000) -> DataFram
         .groupBy("score")
         .agg(F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") <= 0).alias("neg"))
     )
+    bins = max(2, min(AUC_BINS, counted.count() // bin_rows))
     shares = [i / bins for i in range(1, bins)]
     edges = counted.agg(F.percentile_approx("score", shares, 10 * bins)).first()[0]
     splits = [float("-inf"), *sorted(set(edges or [0.0])), float("inf")]

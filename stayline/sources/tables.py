@@ -15,19 +15,24 @@ from stayline.sources.schemas import CLUSTERING, MULTI_LINE, NOT_NULL, PRIMARY_K
 
 
 def load_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
-    """CSV with a header row; an empty field is null and a malformed row fails the load."""
+    """CSV with a header row; an empty field is null.
+
+    A malformed field fails the query that reads it. Spark parses only the columns a query uses, so a
+    narrow query or a count does not see errors in the others: `ingest_table`, which writes every column,
+    checks every field. `multi_line` files are read whole, one task each: give many files, and ingest once.
+    """
     return spark.read.schema(schema).csv(
         path, header=True, mode="FAILFAST", escape='"', multiLine=multi_line
     )
 
 
 def load_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One of the ten base tables from its CSV file, NaN read as missing."""
+    """One of the ten base tables from its CSV file, NaN read as missing; only the fields that are read are checked."""
     return nan_to_null(load_csv(spark, path, schema_of(table), table in MULTI_LINE))
 
 
 def ingest_table(spark: SparkSession, csv_path: str, table: str, out: str, files: int | None = None) -> DataFrame:
-    """CSV to Parquet, once.
+    """CSV to Parquet, once; every field is parsed, and a malformed one fails the load.
 
     Event tables are laid out by join key and time so that scans skip row groups. The
     layout is a range partitioning over key, time and row id: a key that holds a large
@@ -88,14 +93,18 @@ def read_jdbc(
     upper: int | str | None = None,
     partitions: int = 1,
     options: Mapping[str, str] | None = None,
+    one_connection: bool = False,
 ) -> DataFrame:
     """A relation or query of another database.
 
     With a partition column the read is split into ranges, one connection each; filters
-    and the column list are pushed to the database by Spark.
+    and the column list are pushed to the database by Spark. Without one a single task reads it all,
+    which must be asked for by `one_connection`.
     """
     if (table is None) == (query is None):
         raise ValueError("give either a table or a query")
+    if partition_column is None and not one_connection:
+        raise ValueError("give a partition column, or ask for one connection")
     reader = spark.read.format("jdbc").options(url=url, **(options or {}))
     if query is not None and partition_column is None:
         return reader.option("query", query).load()

@@ -147,10 +147,12 @@ class Recorder:
 
 
 def test_jdbc_reader_settings():
-    plain = T.read_jdbc(Recorder(), "jdbc:x", query="SELECT 1")
+    plain = T.read_jdbc(Recorder(), "jdbc:x", query="SELECT 1", one_connection=True)
     assert plain == {"format": "jdbc", "url": "jdbc:x", "query": "SELECT 1"}
     split = T.read_jdbc(Recorder(), "jdbc:x", table="t", partition_column="id", lower=0, upper=9, partitions=4)
     assert split["dbtable"] == "t" and split["numPartitions"] == 4 and split["upperBound"] == 9
     assert T.read_jdbc(Recorder(), "jdbc:x", query="SELECT 1", partition_column="id")["dbtable"] == "(SELECT 1) q"
+    with pytest.raises(ValueError, match="partition column"):
+        T.read_jdbc(Recorder(), "jdbc:x", table="t")
     with pytest.raises(ValueError):
         T.read_jdbc(Recorder(), "jdbc:x")
