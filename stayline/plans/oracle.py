@@ -87,12 +87,10 @@ def wide(long: str, entity: str, label: str, labels: list[str], rounding: bool =
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 WINDOW_LONG = series("win", "user_id", "event_type", "ts", "value")
 WINDOW_WIDE = wide(WINDOW_LONG, "user_id", "event_type", EVENT_TYPES)
-HISTORY_LONG = series(
-    "(SELECT * FROM events WHERE event_type IN ('purchase', 'view'))", "user_id", "event_type", "ts", "value"
-)
+HISTORY_LONG = series("events", "user_id", "event_type", "ts", "value")
 STATS = ("mean", "min", "max", "slope")
 LEFT = [f"{s}_{n}" for s in STATS for n in EVENT_TYPES]
-RIGHT = [f"{s}_{n}" for s in STATS for n in ("purchase", "view")]
+RIGHT = LEFT
 MERGED_NAMES = [(f"w.{c}", f"{c}_x" if c in RIGHT else c) for c in LEFT] + [(f"h.{c}", f"{c}_y") for c in RIGHT]
 MERGED_COLUMNS = ", ".join(f"{source} AS {name}" for source, name in MERGED_NAMES)
 MERGED = f"""
@@ -101,7 +99,7 @@ merged AS (
   SELECT c_custkey, c_acctbal, {MERGED_COLUMNS}
   FROM (SELECT * FROM customer WHERE c_custkey IN (SELECT user_id FROM events)) c
   LEFT JOIN ({WINDOW_WIDE}) w ON w.user_id = c_custkey
-  LEFT JOIN ({wide(HISTORY_LONG, "user_id", "event_type", ["purchase", "view"])}) h ON h.user_id = c_custkey)
+  LEFT JOIN ({wide(HISTORY_LONG, "user_id", "event_type", EVENT_TYPES)}) h ON h.user_id = c_custkey)
 """
 MERGED_FEATURES = ["c_acctbal", *[name for _, name in MERGED_NAMES]]
 MERGED_ALL = ["c_custkey", *MERGED_FEATURES]
@@ -112,7 +110,10 @@ def union(template: str, names: list[str]) -> str:
 
 
 def hashed(key: str, seed: int = 42) -> str:
-    return f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+TEST_CUT = int(0.2 * (1 << 60))
 
 
 PARTS = """
@@ -279,7 +280,7 @@ WITH {MERGED} {union("SELECT '@' AS column_name, count(*) - count(@) AS n_missin
 # ---------------------------------------------------------------- preparation
 
 ORACLE["hash_split"] = f"""
-SELECT doc_id, quality, toxic, {hashed("doc_id")} < CAST(floor(0.2 * 4294967296) AS BIGINT) AS is_test FROM labels"""
+SELECT doc_id, quality, toxic, {hashed("doc_id")} < {TEST_CUT} AS is_test FROM labels"""
 ORACLE["stratified_split"] = f"""
 WITH h AS (SELECT *, {hashed("doc_id")} AS h FROM labels),
 n AS (
@@ -298,7 +299,7 @@ ORACLE["median_impute"] = f"""
 WITH {WINDOW},
 w AS ({WINDOW_WIDE}),
 marked AS (
-  SELECT *, CASE WHEN {hashed("user_id")} < CAST(floor(0.2 * 4294967296) AS BIGINT) THEN 'test' ELSE 'train' END AS part
+  SELECT *, CASE WHEN {hashed("user_id")} < {TEST_CUT} THEN 'test' ELSE 'train' END AS part
   FROM w),
 train AS (SELECT * FROM marked WHERE part = 'train')
 SELECT user_id, {", ".join(f"{r(filled(c, 'train'))} AS {c}" for c in IMPUTED)}, part FROM marked"""
@@ -458,3 +459,166 @@ SELECT p_partkey, 'p_size' AS feature, 'Size' AS label, p_size AS value, 5.0::DO
 FROM raw WHERE p_size NOT BETWEEN 5 AND 45
 UNION ALL SELECT p_partkey, 'p_retailprice', 'Price', p_retailprice, 950.0::DOUBLE, 1800.0::DOUBLE
 FROM raw WHERE p_retailprice NOT BETWEEN 950 AND 1800"""
+
+
+# ---------------------------------------------------------------- loads
+
+ORACLE["ingest_events"] = """
+SELECT CAST(event_id AS INTEGER) AS row_id, CAST(user_id AS INTEGER) AS icustay_id, ts AS charttime, event_type AS value,
+       value AS valuenum FROM events"""
+ORACLE["ingest_notes"] = """
+SELECT CAST(doc_id AS INTEGER) AS row_id, lang AS category, source AS description, md5(text) AS text_md5 FROM documents"""
+ORACLE["model_roundtrip"] = ORACLE["logistic_score"]
+
+# ---------------------------------------------------------------- ways for large data
+
+ORACLE["window_salted"] = ORACLE["window_48h_entity_key"]
+ORACLE["window_crowded"] = """
+SELECT event_id, e.user_id, e.event_type, ts, value, intime, window_type
+FROM events e JOIN (SELECT user_id, event_type AS window_type, min(ts) AS intime FROM events GROUP BY 1, 2) s
+  ON e.user_id = s.user_id
+WHERE value IS NOT NULL AND ts BETWEEN intime AND intime + INTERVAL 48 HOUR"""
+ORACLE["merge_salted"] = ORACLE["merge_features"]
+ORACLE["median_large"] = "SELECT " + ", ".join(
+    f"{r(f'median({c})')} AS {c}" for c in ("l_extendedprice", "l_quantity", "l_discount")
+) + " FROM lineitem"
+ORACLE["sample_ties"] = f"""
+SELECT l_orderkey FROM lineitem ORDER BY {hashed("l_orderkey")}, l_orderkey LIMIT 1000"""
+
+# ---------------------------------------------------------------- slopes and names
+
+_CLOSE = """(
+  SELECT user_id, event_type, value,
+         TIMESTAMP '2150-01-01' + to_microseconds(CAST(epoch_us(ts) // 1000000 % 100000 AS BIGINT)) AS ts
+  FROM events WHERE value IS NOT NULL)"""
+ORACLE["slope_close_times"] = f"""
+WITH slopes AS ({series(_CLOSE, "user_id", "event_type", "ts", "value")}),
+sized AS (
+  SELECT *, CASE WHEN slope <> 0 THEN CAST(floor(log10(abs(slope))) AS BIGINT) END AS exponent FROM slopes)
+SELECT user_id, event_type, {r("slope / pow(10.0, exponent)")} AS digits, exponent FROM sized"""
+ORACLE["dotted_labels"] = f"""
+WITH {WINDOW}, {COVERAGE},
+covered AS (SELECT event_type FROM coverage WHERE coverage >= 0.70),
+stats AS ({series("(SELECT * FROM win WHERE event_type IN (SELECT event_type FROM covered))", "user_id", "event_type", "ts", "value")}),
+names AS ({" UNION ALL ".join(
+    f"SELECT '{s}_resp._' || event_type AS feature, event_type, '{s}' AS stat FROM covered" for s in STATS)}),
+cells AS (
+  SELECT b.user_id, feature,
+         CASE stat WHEN 'mean' THEN mean WHEN 'min' THEN min WHEN 'max' THEN max ELSE slope END AS value
+  FROM starts b CROSS JOIN names n LEFT JOIN stats s ON s.user_id = b.user_id AND s.event_type = n.event_type),
+kept AS (SELECT feature FROM cells GROUP BY 1 HAVING count(value) / CAST(count(*) AS DOUBLE) > 0.6),
+held AS (SELECT c.* FROM cells c JOIN kept USING (feature)),
+whole AS (SELECT user_id FROM held GROUP BY 1 HAVING count(value) = count(*))
+SELECT user_id, feature, {LONG_VALUE} AS value FROM held JOIN whole USING (user_id)"""
+
+# ---------------------------------------------------------------- fitted models: what must hold of them
+
+_CELLS = [f"e{i}" for i in range(64)]
+ORACLE["logistic_fit"] = """
+SELECT vec_id, CAST(label >= 5 AS INTEGER) AS outcome, true AS class_fits, true AS is_optimum FROM embeddings"""
+ORACLE["training_report"] = f"""
+SELECT CAST(CAST(label >= 5 AS INTEGER) AS VARCHAR) AS class, count(*) AS support, true AS measures_fit
+FROM embeddings WHERE {hashed("vec_id")} < {TEST_CUT} GROUP BY 1"""
+ORACLE["gbt_select_features"] = """
+SELECT vec_id, CAST(label >= 5 AS INTEGER) AS outcome, 10 AS n_features, true AS complete FROM embeddings"""
+ORACLE["tree_shap_importance"] = f"""
+WITH n AS (SELECT label >= 5 AS y, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS k FROM embeddings GROUP BY 1)
+SELECT unnest({_CELLS}) AS feature, (SELECT CAST(sum(k) AS BIGINT) FROM n) AS n_rows, true AS adds_up"""
+
+
+def _newton(rounds: int = 12) -> str:
+    """Newton steps on the penalised loss of two standardised features and an intercept, a table a step."""
+    steps = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(rounds):
+        steps.append(f"""
+g{k} AS (
+  SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c,
+         avg((p - y) * u) + any_value(a) / count(*) AS ga, avg((p - y) * v) + any_value(b) / count(*) AS gb, avg(p - y) AS gc,
+         avg(q * u * u) + 1.0 / count(*) AS aa, avg(q * u * v) AS ab, avg(q * u) AS ac,
+         avg(q * v * v) + 1.0 / count(*) AS bb, avg(q * v) AS bc, avg(q) AS cc
+  FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1.0 / (1.0 + exp(-(a * u + b * v + c))) AS p FROM z, w{k}) s) t),
+d{k} AS (
+  SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM g{k}),
+w{k + 1} AS (
+  SELECT a - (ga * (bb * cc - bc * bc) - ab * (gb * cc - bc * gc) + ac * (gb * bc - bb * gc)) / det AS a,
+         b - (aa * (gb * cc - bc * gc) - ga * (ab * cc - bc * ac) + ac * (ab * gc - gb * ac)) / det AS b,
+         c - (aa * (bb * gc - gb * bc) - ab * (ab * gc - gb * ac) + ga * (ab * bc - bb * ac)) / det AS c FROM d{k})""")
+    return ", ".join(steps)
+
+
+ORACLE["logistic_newton"] = f"""
+WITH x AS (
+  SELECT ln(n_chars + 1.0) AS u, CAST(lang = 'en' AS DOUBLE) AS v, CAST(quality AS DOUBLE) AS y
+  FROM labels JOIN documents USING (doc_id)),
+z AS (
+  SELECT (u - (SELECT avg(u) FROM x)) / (SELECT stddev_pop(u) FROM x) AS u,
+         (v - (SELECT avg(v) FROM x)) / (SELECT stddev_pop(v) FROM x) AS v, y FROM x),
+{_newton()}
+SELECT (SELECT count(*) FROM x) AS n_rows, term, round(weight, 3) + 0.0 AS weight FROM (
+  SELECT 'size' AS term, a AS weight FROM w12 UNION ALL SELECT 'is_english', b FROM w12
+  UNION ALL SELECT 'intercept', c FROM w12) t"""
+ORACLE["tree_split"] = f"""
+WITH x AS (SELECT l_linenumber AS f, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0 END AS y FROM lineitem),
+cuts AS (SELECT DISTINCT f + 0.5::DOUBLE AS cut FROM x WHERE f < (SELECT max(f) FROM x)),
+sides AS (
+  SELECT cut, avg(y) FILTER (f <= cut) AS l, avg(y) FILTER (f > cut) AS h,
+         sum(pow(y, 2)) - pow(sum(y) FILTER (f <= cut), 2) / count(*) FILTER (f <= cut)
+           - pow(sum(y) FILTER (f > cut), 2) / count(*) FILTER (f > cut) AS loss
+  FROM x CROSS JOIN cuts GROUP BY cut),
+best AS (SELECT * FROM sides ORDER BY loss, cut LIMIT 1)
+SELECT (SELECT count(*) FROM x) AS n_rows, '-inf'::DOUBLE AS low, cut AS high, {r("2 * l")} AS margin FROM best
+UNION ALL SELECT (SELECT count(*) FROM x), cut, 'inf'::DOUBLE, {r("2 * h")} FROM best"""
+
+
+def _leaf_sql() -> tuple[list[str], str, str]:
+    """Per leaf its background patterns and what every part gets of it; then the sum of shares, and the base."""
+    leaves = [
+        (0.7, {"p_size": "p_size <= 25", "p_retailprice": "p_retailprice > 1200"}),
+        (-0.4, {"p_size": "p_size > 25", "name_length": "name_length <= 12"}),
+        (0.25, {"p_size": "p_size > 10 AND p_size <= 40", "p_retailprice": "p_retailprice <= 1400", "name_length": "name_length > 8"}),
+    ]
+    tables, shares, bases = [], [], ["0.1"]
+    for k, (value, tests) in enumerate(leaves):
+        bits = ", ".join(f"({test})::INTEGER AS {f}" for f, test in tests.items())
+        names = list(tests)
+        tables.append(f"o{k} AS (SELECT p_partkey, {bits} FROM raw)")
+        tables.append(f"c{k} AS (SELECT {', '.join(names)}, count(*) / (SELECT count(*)::DOUBLE FROM raw) AS w FROM o{k} GROUP BY ALL)")
+        mine = " + ".join(f"o.{f} * (1 - c.{f})" for f in names)
+        theirs = " + ".join(f"c.{f} * (1 - o.{f})" for f in names)
+        whole = " AND ".join(f"o.{f} + c.{f} > 0" for f in names)
+        tables.append(f"m{k} AS (SELECT o.*, {', '.join(f'c.{f} AS bg_{f}' for f in names)}, w, {mine} AS p, {theirs} AS q FROM o{k} o, c{k} c WHERE {whole})")
+        for f in names:
+            shares.append(f"""SELECT p_partkey, '{f}' AS feature, {value} * w * CASE
+              WHEN {f} > bg_{f} THEN factorial(greatest(p - 1, 0)::INTEGER) * factorial(q::INTEGER) / factorial((p + q)::INTEGER)::DOUBLE
+              WHEN {f} < bg_{f} THEN -factorial(p::INTEGER) * factorial(greatest(q - 1, 0)::INTEGER) / factorial((p + q)::INTEGER)::DOUBLE
+              ELSE 0.0 END AS s FROM m{k}""")
+        bases.append(f"{value} * (SELECT avg(({' AND '.join(tests.values())})::INTEGER) FROM raw)")
+    return tables, " UNION ALL ".join(shares), " + ".join(bases)
+
+
+_TABLES, _SHARES, _BASE = _leaf_sql()
+ORACLE["tree_shap_fixed"] = f"""
+WITH {PARTS}, {", ".join(_TABLES)},
+long AS ({union("SELECT p_partkey, '@' AS feature, @ AS value FROM raw", _X)}),
+shares AS (SELECT p_partkey, feature, sum(s) AS shap FROM ({_SHARES}) x GROUP BY 1, 2)
+SELECT p_partkey, {r(_BASE)} AS base_value, feature, {r("value")} AS value, {r("coalesce(shap, 0.0)")} AS shap
+FROM long LEFT JOIN shares USING (p_partkey, feature)"""
+
+_EXPLAINED = """
+shap AS (
+  SELECT p_partkey, 'p_size' AS feature, 0.8 * p_size AS shap FROM parts
+  UNION ALL SELECT p_partkey, 'p_retailprice', -0.5 * p_retailprice FROM parts
+  UNION ALL SELECT p_partkey, 'name_length', 0.3 * name_length FROM parts),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(shap) DESC, feature) AS rank FROM shap),
+totals AS (SELECT p_partkey, sum(shap) AS t FROM shap GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+importance AS (
+  SELECT feature, m, row_number() OVER (ORDER BY m DESC, feature) AS place
+  FROM (SELECT feature, avg(abs(shap)) AS m FROM shap GROUP BY 1) x)
+"""
+ORACLE["explain_tables"] = f"""
+WITH {PARTS}, {_EXPLAINED}
+SELECT 'contributions' AS kind, p_partkey, feature, {r("shap")} AS amount, rank AS place FROM ordered
+UNION ALL SELECT 'waterfall', p_partkey, feature, {r("-0.2 + sum(shap) OVER (PARTITION BY p_partkey ORDER BY rank)")}, rank
+  FROM ordered WHERE p_partkey IN (SELECT p_partkey FROM totals)
+UNION ALL SELECT 'importance', NULL, feature, {r("m")}, NULL FROM importance
+UNION ALL SELECT 'beeswarm', p_partkey, feature, {r("shap")}, place FROM ordered JOIN importance USING (feature)"""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from stayline.functions.predicates import col_named
+from stayline.functions.predicates import col_named, micros_between
 from stayline.functions.wording import percent_text, risk_band, signed_text
 from stayline.operators import columns as C
 from stayline.operators import explain as X
@@ -17,14 +18,15 @@ from stayline.operators import features as FT
 from stayline.operators import prep as P
 from stayline.operators import scoring as S
 from stayline.operators.cohort import first_per_key, select_codes, short_stays
-from stayline.operators.extract import with_dictionary
-from stayline.operators.trees import tree_shap
+from stayline.operators.extract import window_extract, with_dictionary
+from stayline.operators.trees import leaf_table, tree_shap
 from stayline.plans import roles as R
 from stayline.plans.cohort import extract_labs, extract_vitals
 from stayline.plans.features import build_features, select_features
-from stayline.plans.modelling import score_pipeline, train_pipeline
+from stayline.plans.modelling import explain, score_pipeline, train_pipeline
 from stayline.session import work_path
 from stayline.sources import tables as T
+from stayline.sources.schemas import schema_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -93,6 +95,41 @@ def sql_passthrough(spark, folder):
     )
 
 
+def _as_csv(df: DataFrame, name: str) -> str:
+    path = work_path(df.sparkSession, name)
+    fit = df.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(name).fields])
+    fit.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("escape", '"').csv(path, header=True)
+    return path
+
+
+def _in_schema(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a base table; those that the frame lacks are null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(name).fields])
+
+
+@query
+def ingest_events(spark, folder):
+    """Events as measurements: CSV, one load into the fixed schema, read back."""
+    events = R.table(spark, folder, "events").select(
+        F.col("event_id").alias("row_id"), F.col("user_id").alias("icustay_id"), F.col("ts").alias("charttime"),
+        F.col("event_type").alias("value"), F.col("value").alias("valuenum"),
+    )
+    path = _as_csv(_in_schema(events, "chartevents"), "chartevents")
+    loaded = T.ingest_table(spark, path, "chartevents", work_path(spark, "ingested"))
+    return loaded.select("row_id", "icustay_id", "charttime", "value", "valuenum")
+
+
+@query
+def ingest_notes(spark, folder):
+    """Documents as notes: texts with line breaks and quotes through CSV."""
+    notes = R.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("lang").alias("category"), F.col("source").alias("description"), "text"
+    )
+    path = _as_csv(_in_schema(notes, "noteevents"), "noteevents")
+    loaded = T.ingest_table(spark, path, "noteevents", work_path(spark, "ingested"))
+    return loaded.select("row_id", "category", "description", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 # ---------------------------------------------------------------- cohort
 
 
@@ -143,6 +180,23 @@ def window_day_granularity(spark, folder):
     return R.window_rows(spark, folder, granularity="day")
 
 
+@query
+def window_salted(spark, folder):
+    """The shuffled join with hot users spread, as beyond the size of a broadcast."""
+    return R.window_rows(spark, folder, max_bytes=0, hot_share=0.0001, sample=1.0)
+
+
+@query
+def window_crowded(spark, folder):
+    """A window per user and event type, met through time buckets."""
+    events = R.table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    starts = T.materialize(
+        R.first_events(spark, folder, ["user_id", "event_type"]).withColumnRenamed("event_type", "window_type")
+    )
+    rows = window_extract(events, starts, ["user_id"], "ts", "intime", "value", 48, crowded_key=1)
+    return rows.select("event_id", "user_id", "event_type", "ts", "value", "intime", "window_type")
+
+
 @query
 def window_with_dictionary(spark, folder):
     nations = R.table(spark, folder, "nation").select(
@@ -242,7 +296,7 @@ def label_coverage(spark, folder):
 
 @query
 def filter_high_coverage(spark, folder):
-    rows = R.window_rows(spark, folder).select("event_id", "user_id", "event_type", "ts", "value")
+    rows = T.materialize(R.window_rows(spark, folder).select("event_id", "user_id", "event_type", "ts", "value"))
     labels = FT.high_coverage_labels(rows, "event_type", "user_id", 0.70)
     return FT.filter_high_coverage(rows, "event_type", "user_id", 0.70, labels)
 
@@ -260,7 +314,32 @@ def ts_features_wide(spark, folder):
     return slopes_rounded(R.window_features(spark, folder))
 
 
-def _merged(spark, folder):
+@query
+def slope_close_times(spark, folder):
+    """Readings of 2150 within a tenth of a second: slopes to six digits, as (digits, exponent)."""
+    events = R.table(spark, folder, "events")
+    second = F.floor(micros_between(F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 1_000_000) % 100_000
+    close = F.lit("2150-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(second / 1_000_000).cast("decimal(18,6)"))
+    long = FT.time_series_long(events.withColumn("ts", close), ["user_id"], "event_type", "ts", "value")
+    exponent = F.when(F.col("slope") != 0, F.floor(F.log10(F.abs("slope")))).cast("long")
+    digits = F.round(F.col("slope") / F.pow(F.lit(10.0), exponent), 6) + F.lit(0.0)
+    return long.select("user_id", "event_type", digits.alias("digits"), exponent.alias("exponent"))
+
+
+@query
+def dotted_labels(spark, folder):
+    """Labels with a dot and a blank through coverage, features, merge and the complete rows."""
+    label = F.concat(F.lit("Resp. "), F.col("event_type"))
+    rows = T.materialize(R.window_rows(spark, folder).withColumn("event_type", label))
+    covered = FT.filter_high_coverage(rows, "event_type", "user_id", 0.70)
+    wide = FT.time_series_features(covered, ["user_id"], "event_type", "ts", "value", origin=F.col("intime"))
+    base = R.first_events(spark, folder).select("user_id")
+    merged = T.materialize(FT.merge_features(base, T.materialize(wide), on=["user_id"]))
+    complete = FT.drop_sparse_complete(merged, 0.6)
+    return long_rounded(X.to_long(complete, ["user_id"], [c for c in complete.columns if c != "user_id"]))
+
+
+def _merged(spark, folder, **join_options):
     """Customers with events, their window features and their history features."""
     events = R.table(spark, folder, "events").select(F.col("user_id").alias("c_custkey"))
     base = E.lookup_subjects(
@@ -270,7 +349,7 @@ def _merged(spark, folder):
         T.materialize(features(spark, folder).withColumnRenamed("user_id", "c_custkey"))
         for features in (R.window_features, R.history_features)
     ]
-    return FT.merge_features(base, *sets, on=["c_custkey"])
+    return FT.merge_features(base, *sets, on=["c_custkey"], **join_options)
 
 
 @query
@@ -278,6 +357,11 @@ def merge_features(spark, folder):
     return slopes_rounded(_merged(spark, folder))
 
 
+@query
+def merge_salted(spark, folder):
+    return slopes_rounded(_merged(spark, folder, max_bytes=0, hot_share=0.0001, sample=1.0))
+
+
 @query
 def column_coverage(spark, folder):
     return rounded(FT.column_coverage(_merged(spark, folder)))
@@ -373,6 +457,14 @@ def median_impute(spark, folder):
     return rounded(P.apply_medians(both, medians))
 
 
+@query
+def median_large(spark, folder):
+    """Medians of all line items by the narrowing search, as for columns beyond one task."""
+    lines = R.table(spark, folder, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
+    medians = P.exact_quantiles(lines, lines.columns, direct_rows=500, accuracy=1_000)
+    return rounded(lines.agg(*[F.lit(medians[c]).alias(c) for c in lines.columns]))
+
+
 @query
 def inference_impute(spark, folder):
     wide = R.window_features(spark, folder).select("user_id", "mean_click", "mean_signup", "max_view")
@@ -391,6 +483,13 @@ def one_hot(spark, folder):
     return P.one_hot(R.table(spark, folder, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
 
 
+@query
+def sample_ties(spark, folder):
+    """A sample by a key that many rows share."""
+    lines = R.table(spark, folder, "lineitem").select("l_orderkey")
+    return P.sample_rows(lines, ["l_orderkey"], 1000)
+
+
 @query
 def sample_n(spark, folder):
     return P.sample_rows(R.table(spark, folder, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"], 100)
@@ -399,13 +498,45 @@ def sample_n(spark, folder):
 # ---------------------------------------------------------------- scores
 
 
+def _stationary(rows: DataFrame, model: S.LogisticModel, target: str, c: float = 1.0) -> bool:
+    """The gradient of the penalised loss is zero in every weight and in the intercept."""
+    error = model.probability() - col_named(target)
+    sums = rows.agg(F.avg(error).alias("b"), F.count(F.lit(1)).alias("n"), *[F.avg(error * col_named(f)).alias(f"g{i}") for i, f in enumerate(model.features)]).first()
+    slopes = [sums[f"g{i}"] + w / (sums["n"] * c) for i, w in enumerate(model.weights)]
+    return max(abs(x) for x in [*slopes, sums["b"]]) < 1e-4
+
+
 @query
 def logistic_fit(spark, folder):
+    """Every row with whether the fit on all of them is the optimum, and its class goes with its probability."""
     rows = R.embedding_features(spark, folder)
-    scaler = P.fit_scaler(rows, R.EMBEDDING_FEATURES)
-    model = S.fit_logistic(P.scale_columns(rows, scaler), R.EMBEDDING_FEATURES, "outcome")
-    return rounded(S.score_logistic(P.scale_columns(rows, scaler), model).select(
-        "vec_id", "outcome", S.PREDICTED_CLASS, S.PREDICTED_PROBABILITY))
+    scaled = T.materialize(P.scale_columns(rows, P.fit_scaler(rows, R.EMBEDDING_FEATURES)))
+    model = S.fit_logistic(scaled, R.EMBEDDING_FEATURES, "outcome")
+    scored = S.score_logistic(scaled, model)
+    agrees = (F.col(S.PREDICTED_PROBABILITY) > 0.5).cast("long") == F.col(S.PREDICTED_CLASS)
+    return scored.select("vec_id", "outcome", agrees.alias("class_fits"), F.lit(_stationary(scaled, model, "outcome")).alias("is_optimum"))
+
+
+@query
+def logistic_newton(spark, folder):
+    """Coefficients of a fit of two features on all labelled documents."""
+    rows = R.newton_features(spark, folder)
+    scaled = T.materialize(P.scale_columns(rows, P.fit_scaler(rows, R.NEWTON_FEATURES)))
+    model = S.fit_logistic(scaled, R.NEWTON_FEATURES, "quality", tol=1e-10)
+    cells = [*zip(model.features, model.weights), ("intercept", model.intercept)]
+    return scaled.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.inline(F.array(*[F.struct(F.lit(n).alias("term"), (F.round(F.lit(w), 3) + F.lit(0.0)).alias("weight")) for n, w in cells]))
+    )
+
+
+@query
+def model_roundtrip(spark, folder):
+    """Scores of a model that was saved and loaded again."""
+    path = work_path(spark, "model")
+    R.PART_MODEL.save(spark, path)
+    model = S.LogisticModel.load(spark, path)
+    scored = S.score_logistic(model.scale(R.part_features(spark, folder)), model)
+    return rounded(scored.select("p_partkey", S.PREDICTED_CLASS, S.PREDICTED_PROBABILITY))
 
 
 @query
@@ -445,9 +576,18 @@ def roc_auc(spark, folder):
 
 @query
 def training_report(spark, folder):
-    rows = R.embedding_features(spark, folder)
-    trained = train_pipeline(rows, "outcome", split_key=["vec_id"], drop=["vec_id"])
-    return rounded(trained.report)
+    """Test rows of each class, and whether the measures of the report follow from the scores of the test rows."""
+    trained = train_pipeline(R.embedding_features(spark, folder), "outcome", split_key=["vec_id"], drop=["vec_id"])
+    test, p = trained.scored_test, F.col(S.PREDICTED_PROBABILITY)
+    # The area again, from its definition as an average rank: ties share their ranks.
+    ranks = test.groupBy(p.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("pos"))
+    below = F.expr("sum(n) over (partition by 0 order by p) - n")
+    sums = ranks.withColumn("below", below).agg(F.sum(F.expr("pos * (below + (n + 1) / 2)")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n")).first()
+    area = (sums["r"] - sums["p"] * (sums["p"] + 1) / 2) / (sums["p"] * (sums["n"] - sums["p"]))
+    area_fits = abs(trained.auc.first()["auc"] - area) < 1e-9
+    hits = test.groupBy(F.col("outcome").cast("string").alias("class")).agg(F.avg((F.col(S.PREDICTED_CLASS) == F.col("outcome")).cast("int")).alias("share"))
+    fits = F.abs(F.col("share") - F.col("recall")) < 1e-9
+    return trained.report.join(hits, "class").select("class", "support", (fits & F.lit(area_fits)).alias("measures_fit"))
 
 
 # ---------------------------------------------------------------- explanation
@@ -518,20 +658,65 @@ def exact_shapley_batches(spark, folder):
     return rounded(X.explode_contributions(explained))
 
 
+@query
+def explain_tables(spark, folder):
+    """All tables of an explanation, one under the other."""
+    tables = explain(R.part_features(spark, folder), R.PART_MODEL, ["p_partkey"])
+    none = F.lit(None).cast("bigint")
+    parts = [
+        tables["contributions"].select(F.lit("contributions").alias("kind"), "p_partkey", "feature", "shap", F.col("rank").alias("place")),
+        tables["waterfall"].select(F.lit("waterfall"), "p_partkey", "feature", F.col("running_after"), F.col("rank")),
+        tables["importance"].select(F.lit("importance"), none, "feature", "mean_abs_shap", none),
+        tables["beeswarm"].select(F.lit("beeswarm"), "p_partkey", "feature", "shap", "feature_rank"),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return rounded(whole.withColumnRenamed("shap", "amount"))
+
+
 @query
 def gbt_select_features(spark, folder):
-    return select_features(
-        R.embedding_features(spark, folder), "outcome", ["vec_id"], top_n=10
-    )
+    """Identifier and target of the selected table, and how many features it has."""
+    kept = select_features(R.embedding_features(spark, folder), "outcome", ["vec_id"], top_n=10)
+    known = [c for c in kept.columns if c in R.EMBEDDING_FEATURES]
+    complete = F.lit(True)
+    for name in known:
+        complete = complete & col_named(name).isNotNull()
+    return kept.select("vec_id", "outcome", F.lit(len(known)).alias("n_features"), complete.alias("complete"))
 
 
 @query
 def tree_shap_importance(spark, folder):
+    """Every feature with its number of attributions, and whether all rows add up to the margin of their trees."""
     rows = T.materialize(P.hash_split(R.embedding_features(spark, folder), ["vec_id"], stratify_by="outcome"))
     train, test = P.split_parts(rows)
     model = S.fit_boosted_trees(train, R.EMBEDDING_FEATURES, "outcome", trees=20)
-    explained = tree_shap(test, model, R.EMBEDDING_FEATURES, ["vec_id"], train, ["vec_id"])
-    return rounded(X.global_importance(explained))
+    explained = T.materialize(tree_shap(test, model, R.EMBEDDING_FEATURES, ["vec_id"], train))
+    margins = model.transform(S.assemble(test, R.EMBEDDING_FEATURES)).select("vec_id", (2 * vector_to_array("rawPrediction")[1]).alias("margin"))
+    total = explained.select("vec_id", (F.col("base_value") + X.shap_sum()).alias("total")).join(margins, "vec_id")
+    gap = total.agg(F.max(F.abs(F.col("total") - F.col("margin")))).first()[0]
+    flat = X.explode_contributions(explained)
+    return flat.groupBy("feature").agg(F.count("shap").alias("n_rows")).withColumn("adds_up", F.lit(gap < 1e-9))
+
+
+@query
+def tree_shap_fixed(spark, folder):
+    """Attributions of a few fixed leaves, against all parts as background."""
+    parts = R.part_features(spark, folder)
+    explained = tree_shap(parts, R.PART_LEAVES, R.PART_FEATURES, ["p_partkey"], parts)
+    return rounded(X.explode_contributions(explained))
+
+
+@query
+def tree_split(spark, folder):
+    """The one split of a tree of depth one, fitted on all line items."""
+    rows = R.table(spark, folder, "lineitem").select(
+        F.col("l_linenumber").cast("double").alias("line"), (F.col("l_returnflag") == "R").cast("int").alias("returned")
+    )
+    model = S.fit_boosted_trees(T.materialize(rows), ["line"], "returned", trees=1, depth=1)
+    cells = [F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("low", "high", "margin"), (*leaf.bounds[0], leaf.value))]) for leaf in leaf_table(model, spark)]
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.inline(F.array(*cells))))
 
 
 # ---------------------------------------------------------------- exploring

@@ -6,6 +6,8 @@ line item a diagnosis, a part its dictionary entry, and an event a measurement.
 
 from __future__ import annotations
 
+from math import inf
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from stayline.operators.extract import window_extract
 from stayline.operators.features import time_series_features
 from stayline.operators.joins import sized_join
 from stayline.operators.scoring import LogisticModel
+from stayline.operators.trees import Leaf
 from stayline.plans.cohort import CohortRules, build_cohort
 from stayline.sources.tables import materialize
 
@@ -34,6 +37,17 @@ PART_MODEL = LogisticModel(
 )
 
 
+# A few fixed leaves on the part features, in their order.
+PART_LEAVES = [
+    Leaf(0.7, {0: (-inf, 25.0), 1: (1200.0, inf)}),
+    Leaf(-0.4, {0: (25.0, inf), 2: (-inf, 12.0)}),
+    Leaf(0.25, {0: (10.0, 40.0), 1: (-inf, 1400.0), 2: (8.0, inf)}),
+    Leaf(0.1, {}),
+]
+
+NEWTON_FEATURES = ["size", "is_english"]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -126,14 +140,19 @@ def first_events(spark: SparkSession, folder: str, keys: list[str] | None = None
 
 
 def window_rows(
-    spark: SparkSession, folder: str, keys: list[str] | None = None, granularity: str | None = None, hours: int = 48
+    spark: SparkSession,
+    folder: str,
+    keys: list[str] | None = None,
+    granularity: str | None = None,
+    hours: int = 48,
+    **join_options,
 ) -> DataFrame:
     keys = keys or ["user_id"]
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
     # Written once: both the size check and the join read the starts.
     starts = materialize(first_events(spark, folder, keys))
     return window_extract(
-        events, starts, keys, "ts", "intime", "value", hours, granularity
+        events, starts, keys, "ts", "intime", "value", hours, granularity, **join_options
     ).select("event_id", "user_id", "event_type", "ts", "value", "intime")
 
 
@@ -145,10 +164,10 @@ def window_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Wide features of two event types over all time."""
+    """Wide features of all event types over all time."""
     origin = F.lit("2024-01-01").cast("timestamp_ntz")
-    kept = table(spark, folder, "events").filter(F.col("event_type").isin("purchase", "view"))
-    return time_series_features(kept, ["user_id"], "event_type", "ts", "value", ["purchase", "view"], origin)
+    events = table(spark, folder, "events")
+    return time_series_features(events, ["user_id"], "event_type", "ts", "value", EVENT_TYPES, origin)
 
 
 def part_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,6 +188,14 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "labels").join(documents, "doc_id")
 
 
+def newton_features(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select(
+        "doc_id", F.log(F.col("n_chars") + 1.0).alias("size"), (F.col("lang") == "en").cast("double").alias("is_english")
+    )
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    return labels.join(documents, "doc_id").select(*NEWTON_FEATURES, "quality")
+
+
 EMBEDDING_FEATURES = [f"e{i}" for i in range(64)]
 
 
