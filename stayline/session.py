@@ -5,12 +5,16 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 WORK_DIR_SETTING = "spark.checkpoint.dir"
 _SHIPPED: set[str] = set()
+_SCOPE: ContextVar[str | None] = ContextVar("_SCOPE", default=None)
 
 
 def build_session(master: str = "local[8]", app: str = "stayline", partitions: int | None = None) -> SparkSession:
@@ -47,7 +51,23 @@ def work_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, so that two runs never collide."""
-    return f"{work_dir(spark)}/stayline/{name}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or f'{work_dir(spark)}/stayline'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[str]:
+    """Everything that is stored by the way inside the block is removed at its end.
+
+    Store the result inside: frames that still read such files cannot be used afterwards.
+    """
+    folder = work_path(spark, "scope")
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:

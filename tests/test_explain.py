@@ -145,3 +145,53 @@ def test_feature_selection_finds_the_signal(spark):
         kept = select_features(df, top_n=1, keep=["note"], trees=4, depth=2)
     assert kept.columns == ["subject_id", "hadm_id", "icustay_id", "signal", "note", "mortality_30d"]
     assert kept.count() == 300
+
+
+LEAVES = [
+    TR.Leaf(0.7, {0: (-np.inf, 0.2), 1: (-0.3, np.inf)}),
+    TR.Leaf(-0.4, {2: (0.0, np.inf)}),
+    TR.Leaf(0.9, {0: (-1.0, 1.0), 1: (-np.inf, 0.5), 2: (-0.5, np.inf)}),
+    TR.Leaf(0.3, {}),
+]
+
+
+def test_the_whole_background_counts_under_any_partitioning(spark, rows):
+    def score(x):
+        return sum(l.value for l in LEAVES if all(lo < x[f] <= hi for f, (lo, hi) in l.bounds.items()))
+
+    table = rows.orderBy("id").toPandas().to_numpy()[:, 1:]
+    results = []
+    for parts in (1, 7):
+        explained = TR.tree_shap(rows, LEAVES, ["a", "b", "c"], ["id"], rows.repartition(parts))
+        got = {r.id: list(r)[1:] for r in X.raw_attributions(explained, ["id"], ["a", "b", "c"]).collect()}
+        assert got[3] == pytest.approx(list(brute_force(score, table[3], table)), abs=1e-12)
+        assert sums(explained) == pytest.approx({i: score(x) for i, x in enumerate(table)})
+        results.append(got)
+    assert results[0] == results[1]
+
+
+def test_a_row_with_a_gap_gets_no_attribution(spark, rows):
+    odd = spark.createDataFrame([(100, None, 0.1, 0.2), (101, 0.1, float("nan"), 0.2), (102, 0.1, 0.1, 0.2)], rows.schema)
+    explained = TR.tree_shap(odd, LEAVES, ["a", "b", "c"], ["id"], rows.unionByName(odd))
+    got = {r.id: list(r)[1:] for r in X.raw_attributions(explained, ["id"], ["a", "b", "c"]).collect()}
+    assert got[100] == got[101] == [None] * 3 and None not in got[102]
+    with pytest.raises(ValueError, match="complete rows"):
+        TR.tree_shap(odd, LEAVES, ["a", "b", "c"], ["id"], odd.filter("id < 102"))
+
+
+def test_names_with_dots(spark, rows):
+    names = ["mean_resp._rate", "a.b", "c`d"]
+    dotted = rows.toDF("row.id", *names)
+    explained = TR.tree_shap(dotted, LEAVES, names, ["row.id"], dotted)
+    assert [r.feature for r in X.global_importance(explained).collect()]
+    model = S.LogisticModel(names, MODEL.weights, MODEL.intercept)
+    batches = X.exact_shapley_batches(dotted, names, model.predict, ["row.id"])
+    assert X.explode_contributions(batches).filter("shap is null").count() == 0
+    wide = dotted.withColumn("mortality_30d", (F.col("`a.b`") > 0).cast("int")).withColumn("subject_id", F.col("`row.id`"))
+    ranked = rank_features(wide, ids=["subject_id"], trees=2, depth=2)
+    assert {r.feature for r in ranked.collect()} == {*names, "row.id"}
+
+
+def test_width_is_an_argument(spark, rows):
+    with pytest.raises(ValueError, match="at most 2"):
+        X.exact_shapley(rows, ["a", "b", "c"], MODEL.probability, ["id"], max_features=2)

@@ -1,3 +1,7 @@
+import io
+from contextlib import redirect_stdout
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +98,38 @@ def test_same_result_under_any_partitioning(spark, at):
         for p in (1, 7)
     ]
     assert results[0] == results[1]
+
+
+def test_complete_rows_with_odd_names(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan"))], "i INT, `mean_resp._rate` DOUBLE")
+    assert [r.i for r in FT.complete_rows(df).collect()] == [1]
+    assert FT.drop_sparse_complete(df, 0.3).columns == ["i", "mean_resp._rate"]
+
+
+@pytest.mark.parametrize("micros", [1_000_000, 1_000, 10, 1])
+def test_slopes_of_close_readings(spark, micros):
+    """Without an origin times count from the entity's first reading."""
+    rows = [(1, "x", datetime(2150, 1, 1, 10, 0, 0, 0), 1.0), (1, "x", datetime(2150, 1, 1, 10, 0, 0) + timedelta(microseconds=micros), 3.0)]
+    slope = FT.time_series_long(spark.createDataFrame(rows, LONG), ["stay"], "label", "t", "v").first().slope
+    assert slope == pytest.approx(2.0 / (micros / 3.6e9), rel=1e-9)
+
+
+def test_features_count_from_the_start_of_the_stay(spark, at):
+    from stayline.plans.features import build_features
+
+    cohort = spark.createDataFrame([(1, at("2150-01-01 00:00")), (2, at("2150-01-02 00:00"))], "icustay_id INT, intime TIMESTAMP_NTZ")
+    rows = [(s, "Resp. Rate", datetime(2150, 1, s, 1, 0, 0, m), float(m)) for s in (1, 2) for m in (0, 10, 20)]
+    vitals = spark.createDataFrame(rows, "icustay_id INT, vitals_label STRING, charttime TIMESTAMP_NTZ, vitals_valuenum DOUBLE")
+    labs = vitals.toDF("icustay_id", "labs_label", "charttime", "labs_valuenum")
+    for base in (cohort, cohort.drop("intime")):
+        got = build_features(base, vitals, labs).collect()
+        assert [r["slope_resp._rate_x"] for r in got] == pytest.approx([3.6e9] * 2, rel=1e-5)
+
+
+def test_coverage_reads_its_input_once(spark, at):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        FT.label_coverage(events, "event_type", "user_id").explain("formatted")
+    # Both counts come from the stored pairs.
+    assert "events.parquet" not in out.getvalue() and "MapInPandas" not in out.getvalue()

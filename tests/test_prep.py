@@ -94,3 +94,27 @@ def test_sample_is_reproducible_and_bounded(spark, monkeypatch):
     assert P.sample_rows(df, ["id"], 1000).count() == 500
     copies = spark.range(100).select(F.lit(1).alias("id"))
     assert P.sample_rows(copies, ["id"], 20).count() == 20
+
+
+@pytest.mark.parametrize("direct", [100_000, 3])
+def test_quantiles_of_infinities_ties_and_single_values(spark, direct):
+    inf = float("inf")
+    data = {
+        "up": [inf] * 7 + [1.0, 2.0, None],
+        "down": [-inf] * 6 + [1.0, 2.0, None, float("nan")],
+        "one": [5.0] + [None] * 9,
+        "same": [4.0] * 10,
+        "none": [None] * 10,
+        "even": [1.0, 2.0, 3.0, 4.0, None, None, 5.0, 6.0, None, None],
+    }
+    df = spark.createDataFrame(list(zip(*data.values())), ", ".join(f"`{c}` DOUBLE" for c in data)).repartition(3)
+    got = P.exact_quantiles(df, list(data), 0.5, direct_rows=direct, accuracy=100)
+    assert got == {"up": inf, "down": -inf, "one": 5.0, "same": 4.0, "none": None, "even": 3.5}
+
+
+def test_sample_size_never_changes_the_choice(spark):
+    df = spark.range(400)
+    sizes = {n: {r.id for r in P.sample_rows(df.repartition(3), ["id"], n).collect()} for n in (1, 10, 399, 400, 401)}
+    assert sizes[1] <= sizes[10] <= sizes[399] <= sizes[400] == sizes[401]
+    assert [len(sizes[n]) for n in sorted(sizes)] == [1, 10, 399, 400, 400]
+    assert P.sample_rows(df.limit(0), ["id"], 5).count() == 0

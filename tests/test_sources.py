@@ -1,4 +1,5 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.ml.feature import Binarizer
@@ -156,3 +157,23 @@ def test_jdbc_reader_settings():
         T.read_jdbc(Recorder(), "jdbc:x", table="t")
     with pytest.raises(ValueError):
         T.read_jdbc(Recorder(), "jdbc:x")
+
+
+def test_a_malformed_field_fails_the_load(spark, tmp_path):
+    rows = ["row_id,subject_id,hadm_id,seq_num,icd9_code", "1,2,3,4,410", "2,two,3,4,411"]
+    (tmp_path / "dx.csv").write_text("\n".join(rows))
+    with pytest.raises(Exception, match="MALFORMED|malformed|CANNOT_PARSE"):
+        T.ingest_table(spark, str(tmp_path / "dx.csv"), "diagnoses_icd", str(tmp_path / "out"))
+
+
+def test_a_scope_removes_what_was_stored_by_the_way(spark, tmp_path):
+    from stayline.session import work_path, work_scope
+
+    with work_scope(spark) as folder:
+        stored = T.materialize(spark.range(5))
+        assert work_path(spark, "x").startswith(folder)
+        T.save_dataset(stored.filter("id > 1"), str(tmp_path / "result"))
+    local = folder.removeprefix("file:")
+    assert not Path(local).exists()
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 3
+    assert not work_path(spark, "x").startswith(folder)
