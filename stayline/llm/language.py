@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from stayline.llm.common import held_out, row_bytes, uniform
 
-#: A fit reads at most about SAMPLE texts of a language, the first TEXT_CHARS characters of each, until DICTIONARY bytes are full.
+#: A fit reads about SAMPLE texts of a language at most, of each a stretch of TEXT_CHARS characters at a seeded place, until
+#: DICTIONARY bytes are full.
 SAMPLE = 200
 TEXT_CHARS = 2000
 DICTIONARY = 32 << 10
@@ -57,8 +58,9 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
         return {}
     sizes = docs.sparkSession.createDataFrame(list(counts.items()), "lang string, n long")
     drawn = rows.withColumn("order", uniform("id", seed=4)).join(F.broadcast(sizes), "lang").filter(F.col("order") * F.col("n") < SAMPLE)
+    place = F.floor(uniform("id", seed=44) * F.greatest(F.char_length("text") - TEXT_CHARS, F.lit(0))).cast("int") + 1
     texts: dict[str, list] = {lang: [] for lang in sorted(counts)}
-    for row in drawn.select("lang", "order", F.substring("text", 1, TEXT_CHARS).alias("text")).collect():
+    for row in drawn.select("lang", "order", F.substring("text", place, TEXT_CHARS).alias("text")).collect():
         texts[row["lang"]].append((row["order"], row["text"]))
     return {lang: b" ".join(plain(t.encode()) for _, t in sorted(own))[:DICTIONARY] for lang, own in texts.items()}
 

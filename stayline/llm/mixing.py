@@ -62,6 +62,12 @@ def closest_subset(counts: dict[int, int], budget: int) -> dict[int, int]:
         more = min(counts[length] - taken[length], max(0, left - CAPACITY // 2) // length)
         taken[length] += more
         left -= more * length
+    if left > CAPACITY:
+        # Only texts longer than the program's reach are left: one more if that comes nearer.
+        spare = [length for length in counts if taken[length] < counts[length]]
+        if spare and min(spare) < 2 * left:
+            taken[min(spare)] += 1
+        return taken
     # Bits of `reach` are the sums that can be had, up to twice what is left; each step offers 1, 2, 4, ... further documents
     # of one length.
     reach, steps, mask = 1, [], (1 << (2 * left + 1)) - 1

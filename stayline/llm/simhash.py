@@ -217,7 +217,8 @@ def links(distinct: DataFrame) -> DataFrame:
     variants = distinct.repartition(tasks).mapInArrow(emit, "variant long, fp long").repartition("variant")
     found = variants.sortWithinPartitions("variant", "fp").mapInArrow(collide, "a long, b long")
     found = materialize(found.distinct())
-    crowd = found.filter("a = b").select(F.col("a").alias("fp")).repartition("fp")
+    crowd = found.filter("a = b").select(F.col("a").alias("fp"))
+    crowd = crowd.repartition(max(1, crowd.count() // (EMIT_ROWS // 10)))
     balls = crowd.mapInArrow(emit_whole, "variant long, flips byte, fp long").repartition("variant")
     spread = balls.sortWithinPartitions("variant", "flips", "fp").mapInArrow(stars, "a long, b long")
     return found.filter("a <> b").unionByName(spread)
