@@ -1,7 +1,8 @@
-"""Growth and skew on made-larger events: python scale_check.py [folder] [factor ...].
+"""Growth and skew on made-larger tables: python scale_check.py [folder] [factor ...].
 
-Each factor copies the events with shifted user ids; "hot" variants then give a third of the rows
-to one user. Prints seconds for the window join with features, on both join paths, and for coverage.
+Each factor copies the rows with shifted keys; "hot" variants then give a third of the events to one
+user. Prints seconds for the window join with features, on both join paths, for coverage, and for the
+cohort, the laboratory extract and the whole feature build on copies of all their tables.
 """
 
 import sys
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from stayline.operators.cohort import first_per_key
 from stayline.operators.extract import window_extract
 from stayline.operators.features import high_coverage_labels, time_series_features
+from stayline.plans.queries import REGISTRY
 from stayline.plans.roles import EVENT_TYPES
 from stayline.session import build_session, work_path
 from stayline.sources.tables import materialize
@@ -30,6 +32,29 @@ def enlarged(spark, folder, factor, hot):
     return materialize(shifted.repartition(16), work_path(spark, f"events-x{factor}"))
 
 
+KEYS = {
+    "customer": ["c_custkey"],
+    "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey"],
+    "events": ["event_id", "user_id"],
+    "part": [],
+    "nation": [],
+}
+GROWN = ("cohort_full", "extract_labs_window", "build_features_full")
+
+
+def enlarged_tables(spark, folder, factor):
+    """A folder with `factor` copies of every table that has keys to shift."""
+    target = work_path(spark, f"tables-x{factor}")
+    for name, keys in KEYS.items():
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        if keys:
+            copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+            df = copies.withColumns({k: F.col(k) * factor + F.col("copy") for k in keys}).drop("copy").repartition(16)
+        df.write.parquet(f"{target}/{name}.parquet")
+    return target
+
+
 def features(events, **join):
     starts = materialize(
         first_per_key(events, ["user_id"], ["ts", "event_id"]).select("user_id", F.col("ts").alias("intime"))
@@ -62,6 +87,9 @@ def main():
             coverage = clock(lambda: high_coverage_labels(events, "event_type", "user_id", 0.5))
             line.append(f"coverage {coverage:.1f} s")
             print(", ".join(line), flush=True)
+        larger = enlarged_tables(spark, folder, factor)
+        times = [f"{name} {clock(lambda: noop(REGISTRY[name](spark, larger))):.1f} s" for name in GROWN]
+        print(f"x{factor} " + ", ".join(times), flush=True)
 
 
 if __name__ == "__main__":

@@ -392,6 +392,12 @@ WITH {LINEAR}
 SELECT p_partkey, {r("base_value")} AS base_value, feature, {r("value")} AS value, {r("shap")} AS shap,
        {r("abs(shap)")} AS abs_shap, CASE WHEN shap > 0 THEN 'Increase Risk' ELSE 'Decrease Risk' END AS direction, rank
 FROM ordered"""
+ORACLE["contribution_words"] = f"""
+WITH {LINEAR}
+SELECT p_partkey, feature, CASE WHEN shap > 0 THEN '↑ Risk' ELSE '↓ Risk' END AS arrow,
+       CASE WHEN shap > 0 THEN '⬆️ Increases Risk' ELSE '⬇️ Decreases Risk' END AS impact,
+       printf('%.6f', round(value, 6)) AS value_text
+FROM ordered"""
 ORACLE["top_rows"] = f"""
 WITH {LINEAR}
 SELECT p_partkey, {r("CAST(-0.2 + 0.8 * 0.1 - 0.3 * 0.2 AS DOUBLE)")} AS base_value, {r("shap_total")} AS shap_total FROM totals"""

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from stayline.functions.predicates import col_named, micros_between
-from stayline.functions.wording import percent_text, risk_band, signed_text
+from stayline.functions.wording import (
+    DIRECTION_ARROW,
+    DIRECTION_IMPACT,
+    direction,
+    fixed_text,
+    percent_text,
+    risk_band,
+    signed_text,
+)
 from stayline.operators import columns as C
 from stayline.operators import explain as X
 from stayline.operators import explore as E
@@ -619,6 +627,16 @@ def contribution_table(spark, folder):
     return rounded(X.contribution_table(_linear(spark, folder)))
 
 
+@query
+def contribution_words(spark, folder):
+    """The other wordings of a contribution, and its value as text."""
+    arrows = X.contribution_table(_linear(spark, folder), DIRECTION_ARROW)
+    return arrows.select(
+        "p_partkey", "feature", F.col("direction").alias("arrow"),
+        direction(F.col("shap"), DIRECTION_IMPACT).alias("impact"), fixed_text(F.round("value", 6), 6).alias("value_text"),
+    )
+
+
 @query
 def top_rows(spark, folder):
     return rounded(X.top_rows(_linear(spark, folder), ["p_partkey"], 10).select("p_partkey", "base_value", "shap_total"))
