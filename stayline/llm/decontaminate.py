@@ -220,7 +220,8 @@ def contamination(
     items, rows, n_words, found = _prepared(docs, benchmark, [id_column], text_column, item_column, item_text, window)
     rows = numbered(rows.select(F.col(id_column).alias("id"), F.col(n_words).alias("n_words"), F.col(found).alias("marks")))
     shared = hits(rows, "marks", items, window)
-    words = shared.select("row", F.explode(F.sequence("low", F.col("high") - 1)).alias("word")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
+    spans = shared.select("row", "low", "high").distinct()
+    words = spans.select("row", F.explode(F.sequence("low", F.col("high") - 1)).alias("word")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     named = shared.filter("item_id is not null").select("row", F.col("item_id").cast("string").alias("item")).distinct()
     listed = named.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     full = rows.select("row", "id", "n_words").join(words, "row", "left").join(listed, "row", "left")

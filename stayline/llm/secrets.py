@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,15 @@ def runs(data: bytes) -> list[tuple[int, int]]:
     return [(a, b) for a, b in places if data[a:b].isascii()]
 
 
+def apart(found: list[tuple[int, int]], base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """The runs that overlap none of the base spans; both lists ascend by start."""
+    ends = list(accumulate((span[2] for span in base), max))
+    starts = [span[1] for span in base]
+    # Spans that begin before the run ends reach no further than the farthest end among them.
+    before = [bisect_left(starts, end) for _, end in found]
+    return [run for run, n in zip(found, before) if not n or ends[n - 1] <= run[0]]
+
+
 def pair_counts(data: np.ndarray) -> np.ndarray:
     """How often each pair of states stands side by side; a run has an edge at both ends."""
     states = np.concatenate([[0], STATE[data], [0]])
@@ -124,7 +135,7 @@ def scanned(docs: DataFrame, keep: list[str], text_column: str) -> tuple[DataFra
                         ordinary -= own
                         random += own
                         last = end
-                free = [r for r in runs(data) if not any(r[0] < end and start < r[1] for _, start, end, _ in base)]
+                free = apart(runs(data), base)
                 at = chars(data, [p for _, a, b, _ in base for p in (a, b)]) if base else []
                 span_rows.append([{"kind": s[0], "start": at[2 * i], "end": at[2 * i + 1]} for i, s in enumerate(base)])
                 at = chars(data, [p for r in free for p in r]) if free else []
