@@ -32,14 +32,24 @@ PART_ENTRIES = 1 << 19
 MOST_PARTS = 1 << 20
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """Codes of 32 bits, byte planes apart, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def packed(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of `width` bytes, byte planes apart, compressed: planes of zeros cost next to nothing."""
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def packed_sorted(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as their steps, which are short."""
+    return packed(np.diff(hashes, prepend=np.uint64(0)), 8)
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, 8), dtype=np.uint64)
 
 
 def chunked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -59,7 +69,7 @@ def chunked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 arrays = [
                     pa.array([piece.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)),
                     pa.array([np.diff(rows).tolist()], pa.list_(pa.int64())),
-                    pa.array([words.tobytes()]),
+                    pa.array([packed_sorted(words)]),
                     pa.array([packed(codes)]),
                     pa.array([len(hashes)], pa.int64()),
                 ]
@@ -87,7 +97,7 @@ def grams(hashes: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray,
 
 
 def _chunk(words: bytes, codes: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(words, np.uint64)[unpacked(codes)], np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return unpacked_sorted(words)[unpacked(codes)], np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
 
 def requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
@@ -106,8 +116,8 @@ def requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                         pa.array(np.full(len(begin), size, np.int32)),
                         pa.array(parts[begin]),
                         pa.array(np.full(len(begin), row["chunk"], np.int64)),
-                        pa.array([distinct[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()),
-                        pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(begin, ends)], pa.binary()),
+                        pa.array([packed_sorted(distinct[a:b]) for a, b in zip(begin, ends)], pa.binary()),
+                        pa.array([packed(counts[a:b]) for a, b in zip(begin, ends)], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(arrays, ["size", "part", "chunk", "grams", "counts"])
 
@@ -116,24 +126,15 @@ def requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
 
 def answer(part: pa.Table) -> pa.Table:
     """Of one partition of the count table: the totals of each chunk's n-grams, in the order they came in."""
-    asked = [np.frombuffer(g, np.uint64) for g in part.column("grams").to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in part.column("counts").to_pylist()]).astype(np.float64)
+    asked = [unpacked_sorted(g) for g in part.column("grams").to_pylist()]
+    counts = np.concatenate([unpacked(c) for c in part.column("counts").to_pylist()]).astype(np.float64)
     _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(inverse, counts).astype("<u8")[inverse]
     ends = np.cumsum([len(a) for a in asked])[:-1]
-    blobs = [packed_totals(t) for t in np.split(totals, ends)]
+    blobs = [packed(t, 8) for t in np.split(totals, ends)]
     return pa.table([part.column("chunk"), part.column("size"), part.column("part"), pa.array(blobs, pa.binary())], names=["chunk", "size", "part", "totals"])
 
 
-def packed_totals(totals: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(totals.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpacked_totals(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
-
-
 def document_scores(hashes: np.ndarray, rows: np.ndarray, tables: list[np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
     """(sum of log scores, n-grams that backed off) of each row.
 
@@ -193,7 +194,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         came: dict[int, list] = {size: [] for size in range(1, order + 1)}
         for size, part, totals in zip(*(right.column(c).to_pylist() for c in ("size", "part", "totals"))):
             came[size].append((part, totals))
-        tables = [np.concatenate([np.empty(0, np.int64), *(unpacked_totals(t) for _, t in sorted(own))]) for _, own in sorted(came.items())]
+        tables = [np.concatenate([np.empty(0, np.int64), *(unpacked(t, 8).astype(np.int64) for _, t in sorted(own))]) for _, own in sorted(came.items())]
         logs, backed = document_scores(hashes, rows, tables, total)
         lengths = np.diff(rows)
         mean = [float(x / n) if n else None for x, n in zip(logs, lengths)]
