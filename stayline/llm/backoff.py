@@ -1,6 +1,6 @@
 """Stupid-backoff language model of the corpus, and the score of every document under it.
 
-Documents are cut into chunks of about a million words, kept as a dictionary of word hashes and codes. For each order of
+Documents are cut into chunks of about a million words (one Arrow batch), kept as a dictionary of word hashes and codes. For each order of
 n-gram a chunk sends its distinct n-grams with their counts to the partition of the count table that their hash names; the
 partition adds the counts of all chunks and answers each with the totals. So a frequent n-gram is one entry a chunk,
 however often it occurs, and no table is ever whole in one place. Answers come back to the chunk in the order of the
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from stayline.llm.common import numbered, text_buffer
+from stayline.llm.common import arrow_map, numbered, text_buffer
 from stayline.llm.tokens import SEPARATORS, ascii_fold, byte_class, hash_words, joined
 
 #: Counts of words and of pairs; a third order is a parameter, and costs one more exchange of all distinct n-grams.
 ORDER = 2
 DISCOUNT = 0.4
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1_400_000
 #: Entries of a partition of the count table, about.
 PART_ENTRIES = 1 << 19
 MOST_PARTS = 1 << 20
@@ -77,7 +77,7 @@ def chunked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 low = high
 
     schema = StructType([StructField("ids", ArrayType(slim.schema["id"].dataType)), *_fields("lengths array<long>, words binary, codes binary, n long")])
-    return numbered(slim.mapInArrow(scan, schema), "chunk")
+    return numbered(arrow_map(slim, scan, schema), "chunk")
 
 
 def _fields(ddl: str):
@@ -121,7 +121,7 @@ def requests(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                     ]
                     yield pa.RecordBatch.from_arrays(arrays, ["size", "part", "chunk", "grams", "counts"])
 
-    return chunks.select("chunk", "words", "codes", "lengths").mapInArrow(scan, "size int, part long, chunk long, grams binary, counts binary")
+    return arrow_map(chunks.select("chunk", "words", "codes", "lengths"), scan, "size int, part long, chunk long, grams binary, counts binary")
 
 
 def answer(part: pa.Table) -> pa.Table:

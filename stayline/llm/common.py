@@ -19,8 +19,11 @@ HELD_OUT_REMAINDER = 2
 FOLDS = 4
 
 
+#: Texts are long and of very unlike length: a batch is bounded by its bytes, so that a task holds little of them at once.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -45,8 +48,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def arrow_map(df: DataFrame, scan, schema) -> DataFrame:
+    """`mapInArrow`, with this package on the workers and batches of at most BATCH_BYTES, or less if the session says so."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get(BATCH_SETTING).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(scan, schema)
+
+
 def map_batches(df: DataFrame, scan, fields: list[StructField]) -> DataFrame:
-    """`mapInArrow` over all columns of `df` in their order, whatever their names hold; columns are known by place."""
+    """`arrow_map` over all columns of `df` in their order, whatever their names hold; columns are known by place."""
     inner = [f"_{i}" for i in range(len(fields))]
 
     def placed(batches):
@@ -54,7 +66,8 @@ def map_batches(df: DataFrame, scan, fields: list[StructField]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns, inner)
 
     schema = StructType([StructField(name, f.dataType, True) for name, f in zip(inner, fields)])
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(placed, schema).toDF(*[f.name for f in fields])
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return arrow_map(plain, placed, schema).toDF(*[f.name for f in fields])
 
 
 def let(value: Column, body) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from stayline.llm.common import fresh, map_batches, numbered, text_buffer
+from stayline.llm.common import arrow_map, fresh, map_batches, numbered, text_buffer
 from stayline.llm.tokens import SEPARATORS, ascii_fold, byte_class, hash_words, joined, mixed
 from stayline.sources.tables import materialize
 
@@ -191,7 +191,7 @@ def hits(rows: DataFrame, found: str, items: DataFrame, window: int) -> DataFram
     theirs = items.select("key", "size", "item_id", F.col("pivot").alias("item_pivot"), F.col("words").alias("item_words"))
     pairs = flat.join(theirs, ["key", "size"])
     kind = dict(items.dtypes)["item_id"]
-    found_ = pairs.mapInArrow(lambda batches: extend(batches, window), f"row long, item_id {kind}, low int, high int")
+    found_ = arrow_map(pairs, lambda batches: extend(batches, window), f"row long, item_id {kind}, low int, high int")
     return materialize(found_.distinct())
 
 

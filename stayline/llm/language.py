@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import held_out, row_bytes, uniform
+from stayline.llm.common import arrow_map, held_out, row_bytes, uniform
 
 #: A fit reads about SAMPLE texts of a language at most, of each a stretch of TEXT_CHARS characters at a seeded place, until
 #: DICTIONARY bytes are full.
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_column: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
     kind = dict(slim.dtypes)["id"]
-    return slim.mapInArrow(scan, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_column)
+    return arrow_map(slim, scan, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_column)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.llm.common import arrow_map
 from stayline.sources.tables import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,7 +48,7 @@ def histogram(docs: DataFrame, text_column: str = "text", vocabulary: str = VOCA
             counts.update(len(encoder.encode_ordinary(t.as_py() or "")) for t in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n"])
 
-    partial = docs.select(F.col(text_column).alias("text")).mapInArrow(scan, "n_tokens long, n long")
+    partial = arrow_map(docs.select(F.col(text_column).alias("text")), scan, "n_tokens long, n long")
     return partial.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from stayline.llm.common import fresh, held_out, map_batches, text_buffer, uniform
+from stayline.llm.common import arrow_map, fresh, held_out, map_batches, text_buffer, uniform
 from stayline.llm.tokens import ascii_fold, byte_class, hash_words, joined, mixed
 
 #: Weights; a power of two.
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([model.tobytes()])], ["n", "model"])
 
     total, weights = 0, np.zeros(SIZE + 1)
-    models = dealt.select("text", "label").mapInArrow(part, "n long, model binary").collect()
+    models = arrow_map(dealt.select("text", "label"), part, "n long, model binary").collect()
     for row in sorted(models, key=lambda r: bytes(r["model"])):
         weights += row["n"] * np.frombuffer(row["model"], np.float64)
         total += row["n"]

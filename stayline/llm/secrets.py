@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from stayline.llm.common import fresh, map_batches, row_bytes
+from stayline.llm.common import arrow_map, fresh, map_batches, row_bytes
 from stayline.sources.tables import materialize
 
 ASSIGN = re.compile(rb"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -225,7 +225,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             )
 
     schema = f"`{id_column}` {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
-    return rows.filter(F.col(counts).isNull()).select("id", spans, found).mapInArrow(judge, schema)
+    return arrow_map(rows.filter(F.col(counts).isNull()).select("id", spans, found), judge, schema)
 
 
 def redact(docs: DataFrame, text_column: str = "text", size_column: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from stayline.llm.common import fresh, map_batches, numbered, row_bytes
+from stayline.llm.common import arrow_map, fresh, map_batches, numbered, row_bytes
 from stayline.llm.components import components
 from stayline.sources.tables import materialize
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             prints = np.fromiter((fingerprint(t, shingle) for t in row_bytes(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
-    return kept.mapInArrow(scan, f"id {dict(kept.dtypes)['id']}, fp long")
+    return arrow_map(kept, scan, f"id {dict(kept.dtypes)['id']}, fp long")
 
 
 def half_balls(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,13 +214,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
     # Each fingerprint makes 196 rows: as many tasks as that needs, however small the table is in bytes.
     tasks = max(1, distinct.count() // EMIT_ROWS)
-    variants = distinct.repartition(tasks).mapInArrow(emit, "variant long, fp long").repartition("variant")
-    found = variants.sortWithinPartitions("variant", "fp").mapInArrow(collide, "a long, b long")
+    variants = arrow_map(distinct.repartition(tasks), emit, "variant long, fp long").repartition("variant")
+    found = arrow_map(variants.sortWithinPartitions("variant", "fp"), collide, "a long, b long")
     found = materialize(found.distinct())
     crowd = found.filter("a = b").select(F.col("a").alias("fp"))
     crowd = crowd.repartition(max(1, crowd.count() // (EMIT_ROWS // 10)))
-    balls = crowd.mapInArrow(emit_whole, "variant long, flips byte, fp long").repartition("variant")
-    spread = balls.sortWithinPartitions("variant", "flips", "fp").mapInArrow(stars, "a long, b long")
+    balls = arrow_map(crowd, emit_whole, "variant long, flips byte, fp long").repartition("variant")
+    spread = arrow_map(balls.sortWithinPartitions("variant", "flips", "fp"), stars, "a long, b long")
     return found.filter("a <> b").unionByName(spread)
 
 
