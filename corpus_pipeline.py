@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import decontaminate, mixing, quality, secrets, simhash
+from stayline.llm import decontaminate, mixing, nearcopies, quality, secrets
 from stayline.llm.common import table
 from stayline.sources.tables import materialize
 
@@ -19,8 +19,8 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the row of the smallest doc_id of every group stays."""
-    return simhash.one_of_each(docs)
+    """Near-dedup by SimHash and by five-word shingle sets at 0.8 or more: the row of the smallest doc_id of every group stays."""
+    return nearcopies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
