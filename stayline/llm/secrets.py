@@ -32,19 +32,18 @@ MIN_VALUE = 8
 MIN_RUN = 16
 #: Log-likelihood ratio from which a run is held for random: one secret in a million runs.
 CUT = math.log(1e6)
-#: States: 0 the edge of a run, 1 to 94 printable ASCII, 95 any other byte of a run.
-STATES = 96
+#: States: 0 the edge of a run, 1 to 94 printable ASCII.
+STATES = 95
 KEY_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = StructType([StructField("kind", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
 RUN = StructType([*SPAN.fields[1:], StructField("text", StringType())])
 
 
 def _state_of() -> np.ndarray:
-    """State of each byte; bytes that no key holds end a run."""
+    """State of each byte; bytes that no key holds, those of other letters and signs among them, end a run."""
     states = np.zeros(256, np.int64)
     for c in KEY_BYTES:
         states[c] = c - 32
-    states[128:] = STATES - 1
     return states
 
 
@@ -68,12 +67,11 @@ def base_spans(data: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def runs(data: bytes) -> list[tuple[int, int]]:
-    """Places of ASCII runs of MIN_RUN or more key characters, in bytes."""
+    """Places of runs of MIN_RUN or more key characters, in bytes."""
     shape = data.translate(RUN_MAP)
     if b"c" * MIN_RUN not in shape:
         return []
-    places = [m.span() for m in RUN_AT_LEAST.finditer(shape)]
-    return [(a, b) for a, b in places if data[a:b].isascii()]
+    return [m.span() for m in RUN_AT_LEAST.finditer(shape)]
 
 
 def apart(found: list[tuple[int, int]], base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:

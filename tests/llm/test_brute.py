@@ -165,6 +165,27 @@ def test_secret_spans(spark, documents):
     assert rows[4].spans == f"markov:{start}:{start + 32}" and rows[3].spans == ""
 
 
+KEYS = ["Rm4tYq9KzW1uGd6VoB3sXh8LpEc5Nj2f", "hD7wPz2MvU9kQa4JxT6rLy1GnSb8Ce3V", "W5gXo1NfZ8iKs3RtBq7mHu2DyPv6Lj9A"]
+TOUCHED = [f"sig “{KEYS[0]}” end", f"这是密钥{KEYS[1]}请保管。", f"clé{KEYS[2]}… end", "Donaudampfschifffahrtsgesellschaftskapitän, überverkehrsordnungsangelegenheiten"]
+
+
+def judged(spark, documents, texts):
+    """Spans and redacted texts of texts that stand among ordinary ones."""
+    odd = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    docs = odd.unionByName(documents.select(F.col("doc_id") + 1000, "text", "n_chars").toDF("doc_id", "text", "n_chars"))
+    spans = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    return [spans[i] for i in range(len(texts))], [out[i] for i in range(len(texts))]
+
+
+def test_keys_that_touch_other_letters(spark, documents):
+    spans, out = judged(spark, documents, TOUCHED)
+    for text, key, found in zip(TOUCHED, KEYS, spans):
+        assert found == f"markov:{text.index(key)}:{text.index(key) + len(key)}"
+    assert out[:3] == [t.replace(k, "[secret]") for t, k in zip(TOUCHED, KEYS)]
+    assert spans[3] == "" and out[3] == TOUCHED[3]
+
+
 def test_redaction_removes_every_span(spark, documents):
     docs = with_secrets(spark, documents)
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
