@@ -75,12 +75,25 @@ def runs(data: bytes) -> list[tuple[int, int]]:
 
 
 def apart(found: list[tuple[int, int]], base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """The runs that overlap none of the base spans; both lists ascend by start."""
-    ends = list(accumulate((span[2] for span in base), max))
+    """What the base spans leave of the runs, in pieces of MIN_RUN or more; both lists ascend by start."""
+    if not base:
+        return found
     starts = [span[1] for span in base]
-    # Spans that begin before the run ends reach no further than the farthest end among them.
-    before = [bisect_left(starts, end) for _, end in found]
-    return [run for run, n in zip(found, before) if not n or ends[n - 1] <= run[0]]
+    # The farthest end so far: a span that begins inside the piece, or the reach of those before it, cuts it.
+    reach = list(accumulate((span[2] for span in base), max))
+    pieces = []
+    for low, high in found:
+        at = bisect_left(starts, low)
+        low = max(low, reach[at - 1]) if at else low
+        while low < high:
+            stop = min(high, starts[at]) if at < len(base) else high
+            if stop - low >= MIN_RUN:
+                pieces.append((low, stop))
+            if stop == high:
+                break
+            low = max(low, reach[at])
+            at += 1
+    return pieces
 
 
 def pair_counts(data: np.ndarray) -> np.ndarray:
@@ -199,7 +212,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """(id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row; offsets are code points, the end exclusive.
 
     A null text is an empty one: no spans, and the digest of the empty string. Repeated rows are judged each for itself; an
-    empty table gives no rows. Runs that overlap a pattern's match are not reported again.
+    empty table gives no rows. A run is reported without what a pattern matches of it; pieces under MIN_RUN are not looked at.
     """
     slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows, spans, found, counts = scanned(slim, ["id"], "text")
