@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -404,3 +405,20 @@ def test_license_blocks(spark):
     assert out[3].base_labels == "" and out[3].labels == "apache" and out[3].score == 1.0
     assert (out[4].n_base, out[4].first_word, out[4].last_word, out[4].base_labels) == (4, 0, 7, "cc-by,mit")
     assert out[5].n_base == 0 and out[5].labels == "" and out[6].n_words == 0
+
+
+def test_wrapped_licenses(spark):
+    """Every template at many widths, in comments, with blank and starred lines inside, between other words."""
+    other = " ".join(f"word{k}" for k in range(60))
+    texts, wanted = [], []
+    for label, template in licenses.TEMPLATES:
+        for width in (12, 20, 30, 40, 50, 55, 60, 70):
+            lines = textwrap.wrap(template, width, break_long_words=False)
+            for shape in (lines, [f" * {line}" for line in lines], [x for line in lines for x in (line, "*", "")]):
+                texts.append("\n".join([other, *shape, other]))
+                wanted.append(label)
+    texts.append("\n".join(f"{w} {other}" for w in dict(licenses.TEMPLATES)["isc"].split()))
+    rows = {r.doc_id: r for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, label in enumerate(wanted):
+        assert label in rows[i].labels.split(",") and rows[i].score == 1.0, (texts[i], rows[i])
+    assert rows[len(wanted)].labels == "" and rows[len(wanted)].score == 0.0
