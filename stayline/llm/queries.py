@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import backoff, decontaminate, language, lengths, licenses, mixing, quality, rules, secrets, simhash
+from stayline.llm import (
+    articles,
+    backoff,
+    decontaminate,
+    language,
+    lengths,
+    licenses,
+    mixing,
+    quality,
+    rules,
+    runs,
+    secrets,
+    simhash,
+    spelling,
+)
 from stayline.llm.common import table
 from stayline.llm.oracle import ORACLE
 
@@ -69,3 +83,18 @@ def op10_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
+
+
+@registered
+def op11_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return articles.page_texts(table(spark, folder, "pages"))
+
+
+@registered
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.planted(table(spark, folder, "documents"))))
+
+
+@registered
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), spelled=spelling.dropped_letter))
