@@ -30,7 +30,10 @@ MAX_EXACT_FEATURES = 10
 
 
 def to_long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
-    """One (feature, value) row per feature."""
+    """One (feature, value) row per feature; without features there are no rows, of the same columns."""
+    if not features:
+        none = [F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("value")]
+        return df.select(*[col_named(c) for c in ids], *none).limit(0)
     doubled = df.select(*[col_named(c) for c in ids], *[col_named(f).cast("double").alias(f) for f in features])
     return doubled.unpivot([col_named(c) for c in ids], [col_named(f) for f in features], "feature", "value")
 

@@ -218,7 +218,7 @@ WITH {WINDOW}, {COVERAGE} SELECT event_type, n_entities, {r("coverage")} AS cove
 ORACLE["filter_high_coverage"] = f"""
 WITH {WINDOW}, {COVERAGE}
 SELECT event_id, user_id, event_type, ts, value FROM win
-WHERE event_type IN (SELECT event_type FROM coverage WHERE coverage >= 0.70)"""
+WHERE event_type IN (SELECT event_type FROM coverage WHERE coverage >= 0.66)"""
 ORACLE["ts_features_long"] = f"""
 WITH {WINDOW}
 SELECT user_id, event_type, {", ".join(f"{r(s, digits(s))} AS {s}" for s in STATS)} FROM ({WINDOW_LONG}) x"""
@@ -504,7 +504,7 @@ sized AS (
 SELECT user_id, event_type, {r("slope / pow(10.0, exponent)")} AS digits, exponent FROM sized"""
 ORACLE["dotted_labels"] = f"""
 WITH {WINDOW}, {COVERAGE},
-covered AS (SELECT event_type FROM coverage WHERE coverage >= 0.70),
+covered AS (SELECT event_type FROM coverage WHERE coverage >= 0.66),
 stats AS ({series("(SELECT * FROM win WHERE event_type IN (SELECT event_type FROM covered))", "user_id", "event_type", "ts", "value")}),
 names AS ({" UNION ALL ".join(
     f"SELECT '{s}_resp._' || event_type AS feature, event_type, '{s}' AS stat FROM covered" for s in STATS)}),

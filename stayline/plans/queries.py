@@ -305,8 +305,8 @@ def label_coverage(spark, folder):
 @query
 def filter_high_coverage(spark, folder):
     rows = T.materialize(R.window_rows(spark, folder).select("event_id", "user_id", "event_type", "ts", "value"))
-    labels = FT.high_coverage_labels(rows, "event_type", "user_id", 0.70)
-    return FT.filter_high_coverage(rows, "event_type", "user_id", 0.70, labels)
+    labels = FT.high_coverage_labels(rows, "event_type", "user_id", 0.66)
+    return FT.filter_high_coverage(rows, "event_type", "user_id", 0.66, labels)
 
 
 @query
@@ -339,7 +339,7 @@ def dotted_labels(spark, folder):
     """Labels with a dot and a blank through coverage, features, merge and the complete rows."""
     label = F.concat(F.lit("Resp. "), F.col("event_type"))
     rows = T.materialize(R.window_rows(spark, folder).withColumn("event_type", label))
-    covered = FT.filter_high_coverage(rows, "event_type", "user_id", 0.70)
+    covered = FT.filter_high_coverage(rows, "event_type", "user_id", 0.66)
     wide = FT.time_series_features(covered, ["user_id"], "event_type", "ts", "value", origin=F.col("intime"))
     base = R.first_events(spark, folder).select("user_id")
     merged = T.materialize(FT.merge_features(base, T.materialize(wide), on=["user_id"]))

@@ -195,3 +195,8 @@ def test_names_with_dots(spark, rows):
 def test_width_is_an_argument(spark, rows):
     with pytest.raises(ValueError, match="at most 2"):
         X.exact_shapley(rows, ["a", "b", "c"], MODEL.probability, ["id"], max_features=2)
+
+
+def test_to_long_without_features(spark):
+    out = X.to_long(spark.createDataFrame([(1, 2.0)], "id long, x double"), ["id"], [])
+    assert out.dtypes == [("id", "bigint"), ("feature", "string"), ("value", "double")] and out.count() == 0

@@ -28,3 +28,9 @@ def test_query_equals_sql(spark, con, name):
 def test_registry_and_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+@pytest.mark.parametrize("name", ["filter_high_coverage", "dotted_labels"])
+def test_thresholds_leave_rows_at_every_scale(spark, name, scale):
+    assert entry.queries()[name](spark, f"/root/testdata/sf{scale}").count() > 0
