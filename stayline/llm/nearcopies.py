@@ -1,9 +1,15 @@
 """Near copies for the pipeline: op1's links, and documents whose five-word shingle sets are alike by SIMILARITY or more.
 
 Candidates come from MinHash: `BANDS` keys of `ROWS` minima each, so two sets at the least similarity share none of them with
-probability (1 - 0.8^4)^32, about 5 in 100 million. Every candidate pair is verified on the shingle sets (64-bit hashes), unless
-it is connected already. Equal sets are one. A key that more than `CROWD` sets share gives one pair from a member to each other
-first; only members that are not connected with the rest by then are compared with all others of the key.
+probability (1 - 0.8^4)^32, about 5 in 100 million. Equal sets are one. Sixteen bits of each of the 128 minima travel along as
+a sketch: two sets at the least similarity agree in fewer than `LIKELY` of them with a probability under one in ten million, and
+only pairs that agree so often are verified on their shingle sets (64-bit hashes).
+
+What a group asks for is its connection, not its pairs. First each set meets one member of each of its keys, and the likeliest
+of those pairs are verified. Keys whose members are in one class by then, as groups of copies mostly are, are done.
+In the others the sketches of different classes are compared inside tasks, in blocks of at most `BLOCK` sets a side, so a
+crowded key spreads over tasks and emits only likely pairs. Of these the likeliest of two classes is verified first, and
+the rest only where the classes are still apart.
 """
 
 from __future__ import annotations
@@ -15,18 +21,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
 
 from stayline.llm.common import arrow_map, fresh, map_batches, numbered, row_bytes
 from stayline.llm.components import components
 from stayline.llm.simhash import classes, fingerprint
+from stayline.operators.joins import sized_join
+from stayline.session import work_path, work_scope
 from stayline.sources.tables import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
-CROWD = 32
+#: Minima of 128 that a likely pair agrees in.
+LIKELY = 78
+BLOCK = 512
 #: Shingles whose minima are taken at a time.
 CHUNK = 1 << 13
 
@@ -55,18 +65,15 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_mixed(sums))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band, of the minima of its orders; no shingles give no keys."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """Sixteen bits of the minimum of each order, BANDS runs of ROWS; no shingles give none."""
     if not len(hashes):
-        return np.empty(0, np.int64)
+        return b""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for low in range(0, len(hashes), CHUNK):
         orders = (hashes[None, low : low + CHUNK] ^ _FLIPS) * _FACTORS
         least = np.minimum(least, orders.min(axis=1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = _mixed(keys) + column
-    return _mixed(keys).view(np.int64)
+    return _mixed(least).astype(np.uint16).tobytes()
 
 
 def enough(shared: int, left: int, right: int) -> bool:
@@ -74,47 +81,72 @@ def enough(shared: int, left: int, right: int) -> bool:
     return shared >= SIMILARITY * (left + right - shared) - 1e-9
 
 
-def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, set), each once, sorted by key -> (null, a, b) for the pairs to verify, and (key, set, null) of crowded keys.
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(row_bytes(column)), np.uint16).reshape(len(column), BANDS * ROWS)
 
-    Holds one batch and at most CROWD rows of an open key. A crowded key is paired with its first set only.
-    """
-    open_key, held, crowded = None, [], False
 
-    def pairs(sets: list[int]) -> list[tuple]:
-        return [(None, a, b) for i, a in enumerate(sets) for b in sets[:i]]
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, set), each once, sorted by key -> (key, centre, set): every further set of a key with its first."""
+    open_key = centre = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, sets = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        centres = sets[begin].copy()
+        if open_key is not None and keys[0] == open_key:
+            centres[0] = centre
+        open_key, centre = keys[-1], centres[-1]
+        of = np.repeat(centres, np.diff(np.append(begin, len(keys))))
+        other = of != sets
+        yield pa.RecordBatch.from_arrays([pa.array(v[other]) for v in (keys, of, sets)], ["key", "centre", "set"])
+
 
-    def crowd(key: int, first: int, sets: list[int]) -> list[tuple]:
-        return [(key, s, None) for s in sets] + [(None, first, s) for s in sets if s != first]
+def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, set, class, sketch), sorted by part -> (a, b, p, q, agree): likely pairs of unlike classes p < q.
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
+    Holds one batch and the rows of an open part, at most two blocks by the way parts are dealt.
+    """
+
+    def pairs(sets: np.ndarray, owner: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(sets), 16):
+            agree = (marks[low : low + 16, None, :] == marks[None, :, :]).sum(axis=2)
+            x, y = np.nonzero((agree >= LIKELY) & (owner[low : low + 16, None] < owner[None, :]))
+            if len(x):
+                columns = [sets[low + x], sets[y], owner[low + x], owner[y], agree[x, y].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "p", "q", "agree"])
 
+    held: pa.Table | None = None
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        sets = batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        end = np.append(begin[1:], len(keys))
-        # Most keys have one set: only the first and last run of a batch, and runs of several, are looked at.
-        looked = np.flatnonzero((end - begin > 1) | (begin == 0) | (end == len(keys)))
-        rows = []
-        for low, high in zip(begin[looked], end[looked]):
-            key, own = int(keys[low]), sets[low:high].tolist()
-            if key != open_key:
-                rows += [] if crowded else pairs(held)
-                open_key, held, crowded = key, [], False
-            if not crowded and len(held) + len(own) > CROWD:
-                own, held, crowded = held + own, (held + own)[:1], True
-            if crowded:
-                rows += crowd(key, held[0], own)
-            else:
-                held += own
-        yield packed(rows)
-    if not crowded:
-        yield packed(pairs(held))
+        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        parts = held.column(0).to_numpy()
+        ends = np.flatnonzero(parts[1:] != parts[:-1]) + 1
+        low = 0
+        for high in ends.tolist():
+            part = held.slice(low, high - low).combine_chunks()
+            yield from pairs(part.column(1).to_numpy(), part.column(2).to_numpy(), _sketches(part.column(3).combine_chunks()))
+            low = high
+        held = held.slice(low)
+    if held is not None:
+        held = held.combine_chunks()
+        yield from pairs(held.column(1).to_numpy(), held.column(2).to_numpy(), _sketches(held.column(3).combine_chunks()))
+
+
+def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b, agree) of the pairs (a, b) whose sketches agree often enough; `marks` has (set, sketch)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                agree = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(axis=1).astype(np.int32)
+                found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], ["a", "b", "agree"])
+                yield found.filter(pa.array(agree >= LIKELY))
+
+    left, right = (marks.select(F.col("set").alias(s), F.col("sketch").alias(n)) for s, n in (("a", "x"), ("b", "y")))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return arrow_map(joined, compare, "a long, b long, agree int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,19 +176,26 @@ def hash_sets(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, scan, "set long, hashes binary")
 
 
-def merged(owners: DataFrame, links: DataFrame) -> DataFrame:
-    """(set, root, joined): `owners` has (set, root) with one root a set, `links` (a, b) pairs of roots."""
-    found = components(links).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-    both = owners.join(materialize(found), "root", "left")
-    return materialize(both.select("set", "root", F.coalesce("joined", "root").alias("joined")))
+def with_classes(per_set: DataFrame, links: DataFrame) -> DataFrame:
+    """(set, class): `per_set` has (set, root) with one root a set, `links` (a, b) pairs of roots."""
+    found = components(links).select(F.col("node").alias("root"), F.col("root").alias("class"))
+    both = per_set.select("set", "root").join(materialize(found), "root", "left")
+    return materialize(both.select("set", F.coalesce("class", "root").alias("class")))
 
 
 def apart(pairs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are not connected yet and whose sizes allow the similarity, each once."""
-    left = owners.select(F.col("set").alias("a"), F.col("joined").alias("p"), F.col("size").alias("n"))
-    right = owners.select(F.col("set").alias("b"), F.col("joined").alias("q"), F.col("size").alias("m"))
-    fits = F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m") - 1e-9
-    return pairs.join(left, "a").join(right, "b").filter(F.col("p") != F.col("q")).filter(fits).select("a", "b")
+    """The pairs (a, b, ...) whose sets are in two classes; `owners` has (set, class)."""
+    left, right = (owners.select(F.col("set").alias(s), F.col("class").alias(n)) for s, n in (("a", "_p"), ("b", "_q")))
+    return pairs.join(left, "a").join(right, "b").filter("_p <> _q").drop("_p", "_q")
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """(part, set, class) from (key, set, class): a key of up to BLOCK sets is one part, a larger one a part for each pair of its blocks."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"))
+    split = materialize(sizes.filter("least <> most").select("key", "n"))
+    own = F.pmod(F.xxhash64("key", "set"), F.col("n")).cast("int")
+    rows = members.join(split, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "set", "class").distinct()
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -164,32 +203,39 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     A class is what can be reached over links of op1 (fingerprints within three bits) and over pairs of five-word shingle sets
     with a Jaccard similarity of SIMILARITY or more. Null ids come last, so a class of such rows alone still keeps one; texts
-    without words are one class. Columns and their order are those of `docs`.
+    without words are one class. Columns and their order are those of `docs`; an empty table gives no rows. What is stored by
+    the way is removed before the rows are returned.
     """
-    row, fp, own, size, keys = (fresh(docs, n) for n in ("row", "fp", "shingle_set", "set_size", "band_keys"))
+    spark = docs.sparkSession
+    row, fp, own, size, mark = (fresh(docs, n) for n in ("row", "fp", "shingle_set", "set_size", "sketch"))
     text_at = docs.columns.index(text_column)
-    added = [StructField(fp, LongType()), StructField(own, LongType()), StructField(size, IntegerType()), StructField(keys, ArrayType(LongType()))]
+    added = [StructField(fp, LongType()), StructField(own, LongType()), StructField(size, IntegerType()), StructField(mark, BinaryType())]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, names, sizes, bands = [], [], [], []
+            prints, names, sizes, marks = [], [], [], []
             for text in row_bytes(batch.column(text_at)):
                 hashes = shingles(text)
                 prints.append(fingerprint(text))
                 names.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sizes.append(len(hashes))
-                bands.append(band_keys(hashes))
+                marks.append(sketch(hashes))
             arrays = [np.array(prints, np.uint64).view(np.int64), np.array(names, np.uint64).view(np.int64), np.array(sizes, np.int32)]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *bands])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(a) for a in arrays), lists], [*batch.schema.names, fp, own, size, keys]
+                [*batch.columns, *(pa.array(a) for a in arrays), pa.array(marks, pa.binary())], [*batch.schema.names, fp, own, size, mark]
             )
 
     whole = numbered(map_batches(docs, scan, [*docs.schema.fields, *added]), row)
-    rows = whole.select(
-        F.col(row).alias("row"), F.col(id_column).alias("id"), F.col(fp).alias("fp"), F.col(own).alias("set"), F.col(size).alias("size")
-    )
+    names = {row: "row", id_column: "id", text_column: "text", fp: "fp", own: "set", size: "size", mark: "sketch"}
+    target = work_path(spark, "table")
+    with work_scope(spark):
+        chosen = materialize(_first_rows(whole.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])), target)
+    return sized_join(whole, chosen.toDF(row), [row], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _first_rows(whole: DataFrame) -> DataFrame:
+    """(row) that stays of each class; `whole` has (row, id, text, fp, set, size, sketch)."""
+    rows = whole.select("row", "id", "fp", "set", "size")
     order = F.struct(F.col("id").isNull(), "id", "row")
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
     joined = materialize(firsts.join(classes(rows), "fp"))
@@ -200,44 +246,45 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     per_set = materialize(rooted.groupBy("set").agg(F.min("root").alias("root"), F.min("row").alias("row"), F.first("size").alias("size")))
     least = per_set.select("set", F.col("root").alias("least"))
     links = materialize(rooted.join(least, "set").filter("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
-    sizes = per_set.select("set", "size")
-
-    def owners(links: DataFrame) -> DataFrame:
-        return merged(per_set.select("set", "root"), links)
+    marks = materialize(whole.select("row", "sketch").join(per_set.filter("size > 0"), "row").select("set", "size", "sketch"))
 
-    def rooted_links(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        left, right = (of.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
-        return pairs.join(left, "a").join(right, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-
-    def found(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        """Links of roots out of the candidate pairs that are alike and not connected yet."""
-        open_ = materialize(apart(pairs, of.join(sizes, "set")))
+    def found(pairs: DataFrame) -> DataFrame:
+        """Links of roots out of the pairs (a, b) that are alike."""
+        left, right = (marks.select(F.col("set").alias(s), F.col("size").alias(n)) for s, n in (("a", "n"), ("b", "m")))
+        fits = F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m") - 1e-9
+        open_ = materialize(pairs.select("a", "b").distinct().join(left, "a").join(right, "b").filter(fits).select("a", "b"))
         needed = open_.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        chosen = materialize(per_set.join(needed, "set", "left_semi").select(F.col("row").alias(row), "set"))
-        texts = whole.select(row, F.col(f"`{text_column}`").alias("text")).join(chosen, row).select("set", "text")
-        return materialize(rooted_links(materialize(verified(open_, materialize(hash_sets(texts)))), of))
-
-    once = per_set.select(F.col("row").alias(row), "set")
-    bands = whole.select(row, F.col(keys).alias("keys")).join(once, row).select(F.explode("keys").alias("key"), "set")
+        rows = materialize(per_set.join(needed, "set", "left_semi").select("row", "set"))
+        texts = sized_join(whole.select("row", "text"), rows, ["row"]).select("set", "text")
+        good = materialize(verified(open_, materialize(hash_sets(texts))))
+        left, right = (per_set.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
+        return good.join(left, "a").join(right, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+
+    width = ROWS * 2
+    bands = marks.select("set", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    key = F.xxhash64("band", F.col("sketch").substr(F.col("band") * width + 1, F.lit(width)))
     # The first set of a key differs from band to band, as its order does.
-    bands = bands.repartition("key").sortWithinPartitions("key", F.col("key").bitwiseXOR(F.col("set")))
-    met = materialize(arrow_map(bands, candidates, "key long, a long, b long"))
-    pairs = met.filter("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = owners(links)
-    links = materialize(links.unionByName(found(pairs, of)))
-
-    # Crowded keys: who is not with the largest part of a key by now is compared with all of the key that are not with it.
-    of = owners(links)
-    crowd = materialize(met.filter("key is not null").select("key", F.col("a").alias("set")).join(of, "set").select("key", "set", "joined"))
-    parts = crowd.groupBy("key", "joined").agg(F.count(F.lit(1)).alias("n"))
-    main = materialize(parts.groupBy("key").agg(F.max(F.struct("n", "joined")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1"))
-    split = materialize(crowd.join(main.select("key", F.col("most.joined").alias("main")), "key"))
-    few = split.filter("joined <> main").select("key", F.col("set").alias("x"), F.col("joined").alias("p"))
-    rest = split.select("key", F.col("set").alias("y"), F.col("joined").alias("q"))
-    across = few.join(rest, "key").filter("p <> q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = materialize(links.unionByName(found(across, of)))
+    dealt = bands.select(key.alias("key"), "set").repartition("key").sortWithinPartitions("key", F.col("key").bitwiseXOR(F.col("set")))
+    met = materialize(arrow_map(dealt, meet, "key long, centre long, set long"))
+
+    # Each set with the likeliest of the members that it met.
+    owners = with_classes(per_set, links)
+    stars = met.select(F.col("set").alias("a"), F.col("centre").alias("b")).distinct()
+    near = likely(apart(stars, owners), marks)
+    best = near.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    links = materialize(links.unionByName(found(materialize(best))))
+
+    # Keys that hold several classes still: the likely pairs between them.
+    owners = with_classes(per_set, links)
+    members = met.select("key", "set").unionByName(met.select("key", F.col("centre").alias("set")).distinct())
+    parts = materialize(blocks(materialize(members.join(owners, "set"))))
+    dealt = parts.join(marks.select("set", "sketch"), "set").select("part", "set", "class", "sketch")
+    dealt = dealt.repartition("part").sortWithinPartitions("part")
+    close = materialize(arrow_map(dealt, cross, "a long, b long, p long, q long, agree int").distinct())
+    best = close.groupBy("p", "q").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b")
+    links = materialize(links.unionByName(found(best)))
+    links = materialize(links.unionByName(found(apart(close, with_classes(per_set, links)))))
 
     final = components(links).select(F.col("node").alias("root"), F.col("root").alias("joined"))
     named = joined.join(materialize(final), "root", "left").select(F.coalesce("joined", "root").alias("root"), "first")
-    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return whole.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

@@ -20,9 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField
 
-from stayline.llm.common import arrow_map, fresh, map_batches, numbered, row_bytes
+from stayline.llm.common import arrow_map, row_bytes
 from stayline.llm.components import components
 from stayline.sources.tables import materialize
 
@@ -251,25 +250,3 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
-
-
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of every class the row of its smallest id stays, one if that id repeats.
-
-    Null ids come last, so a class of such rows alone still keeps one. Columns and their order are those of `docs`.
-    """
-    row, fp = fresh(docs, "row"), fresh(docs, "fp")
-    text_at = docs.columns.index(text_column)
-
-    def scan(batches):
-        for batch in batches:
-            prints = np.fromiter((fingerprint(t, shingle) for t in row_bytes(batch.column(text_at))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, fp])
-
-    whole = numbered(map_batches(docs, scan, [*docs.schema.fields, StructField(fp, LongType())]), row)
-    prints = whole.select(F.col(row).alias("row"), F.col(id_column).alias("id"), F.col(fp).alias("fp"))
-    order = F.struct(F.col("id").isNull(), "id", "row")
-    firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
-    joined = materialize(firsts.join(classes(prints), "fp"))
-    chosen = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return whole.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.llm import backoff, decontaminate, language, lengths, licenses, mixing, quality, rules, secrets, simhash
+from stayline.llm import backoff, decontaminate, language, lengths, licenses, mixing, nearcopies, quality, rules, secrets, simhash
 
 NEAR = {"score": 1e-9}
 
@@ -19,7 +19,7 @@ PER_ROW = {
     "op10": lambda d, b, q: rules.judged(d),
 }
 FILTERS = {
-    "one_of_each": lambda d, b, q: simhash.one_of_each(d),
+    "one_of_each": lambda d, b, q: nearcopies.one_of_each(d),
     "clean": lambda d, b, q: decontaminate.clean(d, b),
     "redact": lambda d, b, q: secrets.redact(d),
     "keep_good": lambda d, b, q: quality.keep_good(d, q),

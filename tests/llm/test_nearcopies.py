@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from conftest import prose
-from stayline.llm import simhash
+from stayline.llm import nearcopies, simhash
 from test_brute import roots
 
 
@@ -59,3 +59,23 @@ def test_crowds_stay_whole(spark):
     links = [(r.component_id, r.doc_id) for r in simhash.near_duplicates(docs).collect()]
     wanted = {i for i, root in roots(sorted(texts), links + alike(texts)).items() if i == root}
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == wanted
+
+
+def test_large_keys_in_blocks(spark, monkeypatch):
+    """Keys cut into blocks of 8: families of near copies, and strangers that share most of a passage, by brute force."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    texts = {}
+    for family in range(4):
+        words = prose(100 + family, 300).split()
+        for i in range(40):
+            own = list(words)
+            for k in range(1 + i % 4):
+                at = (53 * i + 61 * k) % 290
+                own[at : at + 2] = [f"x{family}y{i}z{k}"] * 2
+            texts[100 * family + i] = " ".join(own)
+    passage = prose(7, 200)
+    texts |= {1000 + i: f"{passage} {prose(2000 + i, 60 + i)}" for i in range(70)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    links = [(r.component_id, r.doc_id) for r in simhash.near_duplicates(docs).collect()]
+    wanted = {i for i, root in roots(sorted(texts), links + alike(texts)).items() if i == root}
+    assert {r.doc_id for r in nearcopies.one_of_each(docs).collect()} == wanted

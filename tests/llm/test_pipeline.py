@@ -2,6 +2,7 @@ import corpus_pipeline
 from stayline.llm import decontaminate, quality, secrets, simhash
 from stayline.sources.tables import materialize
 from test_brute import RUNS, WORDS, low, plain_fingerprint, plain_spans, roots
+from test_nearcopies import alike
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,7 +29,7 @@ def test_stages_hand_on_what_they_keep(spark):
 
 
 def test_stages_against_plain_python(spark):
-    """Each stage on what the one before kept: components, shared windows, patterns and sizes by brute force."""
+    """Each stage on what the one before kept: components, similar shingle sets, shared windows, patterns and sizes by brute force."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
@@ -40,7 +41,7 @@ def test_stages_against_plain_python(spark):
     prints = {i: plain_fingerprint(t) for i, t in texts.items()}
     ids = sorted(prints)
     near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3]
-    wanted = {i for i, root in roots(ids, near).items() if i == root}
+    wanted = {i for i, root in roots(ids, near + alike(texts)).items() if i == root}
     docs = materialize(stages["near-duplicates"](spark, docs, FOLDER))
     assert {r.doc_id for r in docs.collect()} == wanted
 
