@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.predicates import col_named, cut_to_day, has_number, hour_number, in_window
-from stayline.operators.joins import sized_join
+from stayline.operators.joins import BROADCAST_BYTES, fits_broadcast, sized_join
+from stayline.sources.bucketed import STRETCH
 
 # Windows per key from which the time axis is cut into buckets.
 CROWDED_KEY = 16
@@ -50,6 +51,25 @@ def window_extract(
     return joined.filter(in_window(col_named(time), col_named(start), hours))
 
 
+def window_extract_stored(
+    stored: DataFrame, spec: dict, cohort: DataFrame, start: str, value: str, hours: int | None = None, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """`window_extract` over events that `save_bucketed` stored, with `spec` as `bucket_spec` gives it.
+
+    A cohort that fits is broadcast. Beyond that only the cohort is shuffled, to the buckets of the stored events, which
+    are read in place, sorted. Windows may be longer or shorter than the stretches (`hours`, the stretch by default): a
+    window joins every stretch that it touches, and an event is in one.
+    """
+    hours = spec["hours"] if hours is None else hours
+    first, last = (F.floor((hour_number(col_named(start)) + after) / spec["hours"]).cast("long") for after in (0, hours))
+    touched = cohort.withColumn(STRETCH, F.explode(F.sequence(first, last)))
+    keys = [*spec["keys"], STRETCH]
+    usable = stored.filter(has_number(col_named(value)))
+    side = F.broadcast(touched) if fits_broadcast(touched, max_bytes) else touched.hint("merge")
+    joined = usable.join(side, keys).drop(STRETCH)
+    return joined.filter(in_window(col_named(spec["time"]), col_named(start), hours))
+
+
 def _most_windows(cohort: DataFrame, on: list[str]) -> int:
     counts = cohort.select(*[col_named(c) for c in on]).dropna().groupBy(*[col_named(c) for c in on]).count()
     return counts.agg(F.max("count")).first()[0] or 0

@@ -479,6 +479,56 @@ ORACLE["model_roundtrip"] = ORACLE["logistic_score"]
 # ---------------------------------------------------------------- ways for large data
 
 ORACLE["window_salted"] = ORACLE["window_48h_entity_key"]
+ORACLE["window_stored"] = ORACLE["window_48h_entity_key"]
+ORACLE["features_refreshed"] = ORACLE["ts_features_long"]
+ORACLE["published_load"] = "SELECT c_custkey, c_name, c_nationkey, true AS refused FROM customer"
+
+
+def _base_schemas() -> str:
+    """Filled and distinct values of the columns that each base table is given."""
+    tables = {
+        "patients": ("customer", "c_custkey row_id, c_custkey subject_id, c_mktsegment gender"),
+        "admissions": (
+            "orders",
+            "o_orderkey row_id, o_custkey subject_id, o_orderkey hadm_id, o_orderdate admittime, o_orderpriority admission_type,"
+            " o_orderstatus marital_status, o_orderkey % 2 hospital_expire_flag",
+        ),
+        "icustays": ("orders", "o_orderkey row_id, o_custkey subject_id, o_orderkey icustay_id, o_orderdate intime, o_totalprice los"),
+        "diagnoses_icd": (
+            "orders",
+            "o_orderkey row_id, o_custkey subject_id, o_orderkey hadm_id, o_orderkey % 7 seq_num, o_orderpriority icd9_code",
+        ),
+        "d_icd_diagnoses": ("part", "p_partkey row_id, p_brand icd9_code, p_type short_title, p_name long_title"),
+        "chartevents": ("events", "event_id row_id, user_id icustay_id, ts charttime, event_type \"value\", \"value\" valuenum"),
+        "d_items": ("nation", "n_nationkey row_id, n_nationkey itemid, n_name label"),
+        "labevents": ("events", "event_id row_id, user_id subject_id, ts charttime, event_type flag, \"value\" valuenum"),
+        "noteevents": ("documents", "doc_id row_id, lang category, CASE WHEN text <> '' THEN text END text"),
+        "d_labitems": ("region", "r_regionkey row_id, r_regionkey itemid, r_name label"),
+    }
+    parts = []
+    for name, (source, columns) in tables.items():
+        for column in [c.split()[-1] for c in columns.split(", ")]:
+            column = column.strip('"')
+            parts.append(
+                f"SELECT '{name}' AS table_name, '{column}' AS column_name, count(x.{column}) AS n_filled, "
+                f"count(DISTINCT x.{column}) AS n_distinct FROM (SELECT {columns} FROM {source}) x"
+            )
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["base_schemas"] = _base_schemas()
+ORACLE["names_and_inputs"] = """
+WITH starts AS (SELECT user_id, min(ts) AS intime FROM events GROUP BY 1),
+rows AS (SELECT e.* FROM events e JOIN starts USING (user_id) WHERE value IS NOT NULL AND NOT isnan(value) AND ts BETWEEN intime AND intime + INTERVAL 48 HOUR),
+labels AS (SELECT event_type FROM rows GROUP BY 1
+           HAVING count(DISTINCT user_id) / (SELECT count(DISTINCT user_id)::DOUBLE FROM rows) >= 0.66),
+stats(stat, k) AS (VALUES ('mean', 0), ('min', 1), ('max', 2), ('slope', 3)),
+names AS (SELECT stat || '_' || event_type AS name, 4 * (row_number() OVER (PARTITION BY stat ORDER BY event_type) - 1) + k AS place FROM labels, stats)
+SELECT 'name' AS kind, place, name, false AS known FROM names
+UNION ALL SELECT 'name', (SELECT count(*) FROM names), 'max_bicarbonate', true
+UNION ALL SELECT 'input', (SELECT count(*) FROM events), 'labs', true
+UNION ALL SELECT 'input', (SELECT count(*) FROM orders), 'vitals', true
+UNION ALL SELECT 'input', (SELECT count(*) FROM customer), 'cohort', true"""
 ORACLE["window_crowded"] = """
 SELECT event_id, e.user_id, e.event_type, ts, value, intime, window_type
 FROM events e JOIN (SELECT user_id, event_type AS window_type, min(ts) AS intime FROM events GROUP BY 1, 2) s

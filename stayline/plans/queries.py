@@ -26,13 +26,16 @@ from stayline.operators import features as FT
 from stayline.operators import prep as P
 from stayline.operators import scoring as S
 from stayline.operators.cohort import first_per_key, select_codes, short_stays
-from stayline.operators.extract import window_extract, with_dictionary
+from stayline.operators.extract import window_extract, window_extract_stored, with_dictionary
+from stayline.operators.refresh import refresh_features
 from stayline.operators.trees import leaf_table, tree_shap
 from stayline.plans import roles as R
 from stayline.plans.cohort import extract_labs, extract_vitals
 from stayline.plans.features import build_features, select_features
 from stayline.plans.modelling import explain, score_pipeline, train_pipeline
 from stayline.session import work_path
+from stayline.sources import bucketed as B
+from stayline.sources import published as PB
 from stayline.sources import tables as T
 from stayline.sources.schemas import schema_of
 
@@ -127,6 +130,81 @@ def ingest_events(spark, folder):
     return loaded.select("row_id", "icustay_id", "charttime", "value", "valuenum")
 
 
+def _base_tables(spark, folder) -> dict[str, DataFrame]:
+    """Rows for each of the ten base tables, in some of its columns."""
+    def chosen(name, **columns):
+        return R.table(spark, folder, name).select(*[F.expr(e).alias(c) for c, e in columns.items()])
+
+    return {
+        "patients": chosen("customer", row_id="c_custkey", subject_id="c_custkey", gender="c_mktsegment"),
+        "admissions": chosen(
+            "orders", row_id="o_orderkey", subject_id="o_custkey", hadm_id="o_orderkey", admittime="o_orderdate",
+            admission_type="o_orderpriority", marital_status="o_orderstatus", hospital_expire_flag="o_orderkey % 2",
+        ),
+        "icustays": chosen(
+            "orders", row_id="o_orderkey", subject_id="o_custkey", icustay_id="o_orderkey", intime="o_orderdate", los="o_totalprice"
+        ),
+        "diagnoses_icd": chosen(
+            "orders", row_id="o_orderkey", subject_id="o_custkey", hadm_id="o_orderkey", seq_num="o_orderkey % 7", icd9_code="o_orderpriority"
+        ),
+        "d_icd_diagnoses": chosen("part", row_id="p_partkey", icd9_code="p_brand", short_title="p_type", long_title="p_name"),
+        "chartevents": chosen("events", row_id="event_id", icustay_id="user_id", charttime="ts", value="event_type", valuenum="value"),
+        "d_items": chosen("nation", row_id="n_nationkey", itemid="n_nationkey", label="n_name"),
+        "labevents": chosen("events", row_id="event_id", subject_id="user_id", charttime="ts", flag="event_type", valuenum="value"),
+        "noteevents": chosen("documents", row_id="doc_id", category="lang", text="text"),
+        "d_labitems": chosen("region", row_id="r_regionkey", itemid="r_regionkey", label="r_name"),
+    }
+
+
+@query
+def base_schemas(spark, folder):
+    """All ten base tables through CSV, the fixed schema and a checked load: filled and distinct values of each column."""
+    counts = None
+    for name, rows in _base_tables(spark, folder).items():
+        loaded = PB.publish_csv(spark, _as_csv(_in_schema(rows, name), name), name, work_path(spark, name))
+        long = loaded.select(F.explode(F.map_from_entries(F.array(
+            *[F.struct(F.lit(c), F.col(c).cast("string")) for c in rows.columns]
+        ))).alias("column_name", "value"))
+        part = long.groupBy("column_name").agg(F.count("value").alias("n_filled"), F.countDistinct("value").alias("n_distinct"))
+        part = part.select(F.lit(name).alias("table_name"), "column_name", "n_filled", "n_distinct")
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
+
+
+@query
+def published_load(spark, folder):
+    """Nations, then customers in two loads under one name; a load that repeats a key is refused and changes nothing."""
+    path = work_path(spark, "published")
+    customers = R.table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey")
+    PB.publish_table(customers.filter("c_custkey % 3 = 0"), path, ["c_custkey"], ["c_name"])
+    PB.publish_table(customers, path, ["c_custkey"], ["c_name"])
+    refused = False
+    try:
+        PB.publish_table(customers.unionByName(customers.filter("c_custkey % 7 = 0")), path, ["c_custkey"], ["c_name"])
+    except PB.LoadError:
+        refused = True
+    return PB.read_published(spark, path).withColumn("refused", F.lit(refused))
+
+
+@query
+def names_and_inputs(spark, folder):
+    """Feature names through their file, in order, with what the form says of them, and the three inputs through their folder."""
+    labels = FT.high_coverage_labels(R.window_rows(spark, folder), "event_type", "user_id", 0.66)
+    names = [FT.feature_name(stat, label) for label in labels for stat in FT.STATS] + ["max_bicarbonate"]
+    path = work_path(spark, "names")
+    T.save_names(spark, names, path)
+    read = T.load_names(spark, path)
+    unknown = set(E.missing_info(read))
+    rows = [("name", i, n, n not in unknown) for i, n in enumerate(read)]
+    inputs = work_path(spark, "inputs")
+    for name, table in (("labs", "events"), ("vitals", "orders"), ("cohort", "customer")):
+        T.save_dataset(R.table(spark, folder, table), f"{inputs}/{name}")
+    out = spark.createDataFrame(rows, "kind string, place long, name string, known boolean")
+    for name, df in sorted(T.load_inputs(spark, inputs).items()):
+        out = out.unionByName(df.agg(F.lit("input").alias("kind"), F.count(F.lit(1)).alias("place"), F.lit(name).alias("name"), F.lit(True).alias("known")))
+    return out
+
+
 @query
 def ingest_notes(spark, folder):
     """Documents as notes: texts with line breaks and quotes through CSV."""
@@ -194,6 +272,17 @@ def window_salted(spark, folder):
     return R.window_rows(spark, folder, max_bytes=0, hot_share=0.0001, sample=1.0)
 
 
+@query
+def window_stored(spark, folder):
+    """Events stored in buckets of user and time; only the windows are shuffled to them, as beyond the size of a broadcast."""
+    events = R.table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    path = work_path(spark, "buckets")
+    B.save_bucketed(events, path, ["user_id"], "ts", buckets=8)
+    starts = T.materialize(R.first_events(spark, folder))
+    rows = window_extract_stored(B.read_bucketed(spark, path), B.bucket_spec(spark, path), starts, "intime", "value", max_bytes=0)
+    return rows.select("event_id", "user_id", "event_type", "ts", "value", "intime")
+
+
 @query
 def window_crowded(spark, folder):
     """A window per user and event type, met through time buckets."""
@@ -297,6 +386,17 @@ def extract_vitals_window(spark, folder):
 # ---------------------------------------------------------------- features
 
 
+@query
+def features_refreshed(spark, folder):
+    """The features of `ts_features_long` out of three loads, each taken into the stored parts of those before."""
+    rows = T.materialize(R.window_rows(spark, folder))
+    path = work_path(spark, "parts")
+    for load in range(3):
+        new = rows.filter(F.col("event_id") % 3 == load)
+        features = refresh_features(spark, path, new, ["user_id"], "event_type", "ts", "value", F.col("intime"))
+    return slopes_rounded(features)
+
+
 @query
 def label_coverage(spark, folder):
     return rounded(FT.label_coverage(R.window_rows(spark, folder), "event_type", "user_id"))

@@ -19,7 +19,7 @@ def load_csv(spark: SparkSession, path: str, schema: StructType | str, multi_lin
 
     A malformed field fails the query that reads it. Spark parses only the columns a query uses, so a
     narrow query or a count does not see errors in the others: `ingest_table`, which writes every column,
-    checks every field. `multi_line` files are read whole, one task each: give many files, and ingest once.
+    checks every field. `multi_line` files are read whole, one task each; `load_quoted_csv` deals a file out to many.
     """
     return spark.read.schema(schema).csv(
         path, header=True, mode="FAILFAST", escape='"', multiLine=multi_line
@@ -28,7 +28,11 @@ def load_csv(spark: SparkSession, path: str, schema: StructType | str, multi_lin
 
 def load_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One of the ten base tables from its CSV file, NaN read as missing; only the fields that are read are checked."""
-    return nan_to_null(load_csv(spark, path, schema_of(table), table in MULTI_LINE))
+    if table in MULTI_LINE:
+        from stayline.sources.quoted import load_quoted_csv
+
+        return nan_to_null(load_quoted_csv(spark, path, schema_of(table)))
+    return nan_to_null(load_csv(spark, path, schema_of(table)))
 
 
 def ingest_table(spark: SparkSession, csv_path: str, table: str, out: str, files: int | None = None) -> DataFrame:
