@@ -5,6 +5,8 @@ Rows are told apart by a number given while they are written (`numbered`), never
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,6 +59,16 @@ def arrow_map(df: DataFrame, scan, schema) -> DataFrame:
     return df.mapInArrow(scan, schema)
 
 
+def release_memory() -> None:
+    """Returns freed memory of Arrow and of the C library to the system, where that can be done: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library: it trims by itself or not at all.
+        return
+
+
 def map_batches(df: DataFrame, scan, fields: list[StructField]) -> DataFrame:
     """`arrow_map` over all columns of `df` in their order, whatever their names hold; columns are known by place."""
     inner = [f"_{i}" for i in range(len(fields))]

@@ -6,7 +6,7 @@ a sketch: two sets at the least similarity agree in fewer than `LIKELY` of them
 only pairs that agree so often are verified on their shingle sets (64-bit hashes).
 
 What a group asks for is its connection, not its pairs. First each set meets one member of each of its keys, and the likeliest
-of those pairs are verified. Keys whose members are in one class by then, as groups of copies mostly are, are done.
+of a few of those pairs is verified. Keys whose members are in one class by then, as groups of copies mostly are, are done.
 In the others the sketches of different classes are compared inside tasks, in blocks of at most `BLOCK` sets a side, so a
 crowded key spreads over tasks and emits only likely pairs. Of these the likeliest of two classes is verified first, and
 the rest only where the classes are still apart.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
 
-from stayline.llm.common import arrow_map, fresh, map_batches, numbered, row_bytes
+from stayline.llm.common import arrow_map, fresh, map_batches, numbered, release_memory, row_bytes
 from stayline.llm.components import components
 from stayline.llm.simhash import classes, fingerprint
 from stayline.operators.joins import sized_join
@@ -37,6 +37,8 @@ ROWS = 4
 #: Minima of 128 that a likely pair agrees in.
 LIKELY = 78
 BLOCK = 512
+#: Centres that a set is measured against before classes are compared.
+STARS = 4
 #: Shingles whose minima are taken at a time.
 CHUNK = 1 << 13
 
@@ -224,6 +226,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(a) for a in arrays), pa.array(marks, pa.binary())], [*batch.schema.names, fp, own, size, mark]
             )
+        release_memory()
 
     whole = numbered(map_batches(docs, scan, [*docs.schema.fields, *added]), row)
     names = {row: "row", id_column: "id", text_column: "text", fp: "fp", own: "set", size: "size", mark: "sketch"}
@@ -267,10 +270,10 @@ def _first_rows(whole: DataFrame) -> DataFrame:
     dealt = bands.select(key.alias("key"), "set").repartition("key").sortWithinPartitions("key", F.col("key").bitwiseXOR(F.col("set")))
     met = materialize(arrow_map(dealt, meet, "key long, centre long, set long"))
 
-    # Each set with the likeliest of the members that it met.
-    owners = with_classes(per_set, links)
-    stars = met.select(F.col("set").alias("a"), F.col("centre").alias("b")).distinct()
-    near = likely(apart(stars, owners), marks)
+    # Each set with the likeliest of the centres that it met; of at most BANDS those with the least hash, which copies have in common.
+    ranked = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("centre").alias("hash"), "centre"))), 1, STARS)
+    stars = met.groupBy("set").agg(ranked.alias("stars")).select(F.col("set").alias("a"), F.explode("stars.centre").alias("b"))
+    near = likely(apart(stars, per_set.select("set", F.col("root").alias("class"))), marks)
     best = near.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = materialize(links.unionByName(found(materialize(best))))
 
@@ -281,9 +284,13 @@ def _first_rows(whole: DataFrame) -> DataFrame:
     dealt = parts.join(marks.select("set", "sketch"), "set").select("part", "set", "class", "sketch")
     dealt = dealt.repartition("part").sortWithinPartitions("part")
     close = materialize(arrow_map(dealt, cross, "a long, b long, p long, q long, agree int").distinct())
-    best = close.groupBy("p", "q").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b")
-    links = materialize(links.unionByName(found(best)))
-    links = materialize(links.unionByName(found(apart(close, with_classes(per_set, links)))))
+    best = materialize(close.groupBy("p", "q").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b"))
+    if n_close := close.count():
+        links = materialize(links.unionByName(found(best)))
+        # Two classes with several likely pairs, of which the likeliest may have failed.
+        if n_close > best.count():
+            rest = close.join(best, ["a", "b"], "left_anti")
+            links = materialize(links.unionByName(found(apart(rest, with_classes(per_set, links)))))
 
     final = components(links).select(F.col("node").alias("root"), F.col("root").alias("joined"))
     named = joined.join(materialize(final), "root", "left").select(F.coalesce("joined", "root").alias("root"), "first")

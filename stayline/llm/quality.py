@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from stayline.llm.common import arrow_map, fresh, held_out, map_batches, text_buffer, uniform
+from stayline.llm.common import arrow_map, fresh, held_out, map_batches, release_memory, text_buffer, uniform
 from stayline.llm.tokens import ascii_fold, byte_class, hash_words, joined, mixed
 
 #: Weights; a power of two.
@@ -24,6 +24,8 @@ SIZE = 1 << 18
 #: Labelled rows that a fit reads at most, chosen by a seeded hash of the id; above 20,000 held-out accuracy stands still.
 SAMPLE = 20_000
 SHARDS = 8
+#: Rows whose features are held at a time.
+PIECE = 200
 EPOCHS = 4
 KEEP_AT = 0.7
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-5, 1e-5
@@ -83,8 +85,11 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Follow-the-regularised-leader with per-coordinate rates over (index, value, label) rows, in their order."""
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, float, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Follow-the-regularised-leader with per-coordinate rates over rows in their order.
+
+    A row is (index, count of each, what one counts for, label); the bias has an index and no count.
+    """
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
 
     def weights(i):
@@ -92,7 +97,8 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
         return np.where(active, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2), 0.0)
 
     for _ in range(epochs):
-        for index, value, label in rows:
+        for index, counts, scale, label in rows:
+            value = np.append(counts * scale, 1.0)
             w = weights(index)
             g = (sigmoid(float(w @ value)) - label) * value
             grown = n[index] + g * g
@@ -101,13 +107,13 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
     return weights(np.arange(SIZE + 1))
 
 
-def _rows(texts: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def _rows(texts: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
     out = []
     index, value, rows = features(*text_buffer(texts))
     for i, label in enumerate(labels):
         own, counts = np.unique(index[rows[i] : rows[i + 1]], return_counts=True)
-        scale = value[rows[i]] if rows[i] < rows[i + 1] else 0.0
-        out.append((np.append(own, SIZE), np.append(counts * scale, 1.0), int(label)))
+        scale = float(value[rows[i]]) if rows[i] < rows[i + 1] else 0.0
+        out.append((np.append(own, SIZE).astype(np.int32), counts.astype(np.int32), scale, int(label)))
     return out
 
 
@@ -129,17 +135,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """Weights and bias. Without labelled rows all are zero, and every score is one half.
 
     Each of SHARDS parts of the sample is fitted by its own task, in the order of a hash; the models are averaged by their
-    number of rows. The sample is bounded by `sample` rows, so its ids may be broadcast.
+    number of rows. The sample has at most about `sample` ids, which may be broadcast, and one document of each (the first by that
+    hash, null texts aside).
     """
     drawn = learnable(labels, id_column, label_column, sample)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull())
-    texts = texts.join(F.broadcast(drawn), "id").select("text", "label", uniform("id", "text", seed=10).alias("order"))
+    texts = texts.join(F.broadcast(drawn), "id").select("id", "label", uniform("id", "text", seed=10).alias("order"), "text")
+    # One row an id, however often it is there: the sample bounds rows as well.
+    texts = texts.groupBy("id").agg(F.min(F.struct("order", "text", "label")).alias("first")).select("first.*")
     dealt = texts.withColumn("shard", F.floor(F.col("order") * SHARDS)).repartition(SHARDS, "shard").sortWithinPartitions("shard", "order", "text")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         for batch in batches:
-            rows += _rows(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
+            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            for low in range(0, batch.num_rows, PIECE):
+                rows += _rows(batch.column(0).slice(low, PIECE), labels[low : low + PIECE])
+        release_memory()
         if rows:
             model = fit_rows(rows).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([model.tobytes()])], ["n", "model"])
@@ -163,10 +175,11 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                piece = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(low, PIECE)
                 p = sigmoid(margins(model.value, *text_buffer(piece.column(at))))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p)], [*piece.schema.names, out])
+        release_memory()
 
     return map_batches(plain, scan, [*plain.schema.fields, StructField(out, DoubleType())])
 

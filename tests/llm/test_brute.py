@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from check_oracle import compare
-from stayline.llm import backoff, components, language, lengths, licenses, mixing, quality, rules, secrets, simhash
+from stayline.llm import backoff, components, language, lengths, licenses, mixing, nearcopies, quality, rules, secrets, simhash
 from stayline.llm.queries import ORACLE, REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
@@ -120,10 +120,9 @@ def test_components_of_long_chains_and_hubs(spark):
 
 
 def test_one_of_each_keeps_the_smallest_id(docs):
-    named = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    kept = [r.doc_id for r in nearcopies.one_of_each(docs).collect()]
     classes = simhash.near_duplicates(docs).collect()
-    assert named == {r.component_id for r in classes}
-    assert simhash.one_of_each(docs).count() == len({r.component_id for r in classes})
+    assert set(kept) == {r.component_id for r in classes} and len(kept) == len(set(kept))
 
 
 # ------------------------------------------------------------ secrets
@@ -422,3 +421,13 @@ def test_wrapped_licenses(spark):
     for i, label in enumerate(wanted):
         assert label in rows[i].labels.split(",") and rows[i].score == 1.0, (texts[i], rows[i])
     assert rows[len(wanted)].labels == "" and rows[len(wanted)].score == 0.0
+
+
+def test_quality_learns_one_document_an_id(spark):
+    """5,000 rows of one id weigh as one, so the sample bounds the rows that a task holds."""
+    rows = [(i, f"good words {i} here" if i % 2 else f"bad junk {i} there") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt = next(r.id for r in quality.learnable(labels).orderBy("id").collect())
+    often = once.unionByName(spark.createDataFrame([rows[learnt]] * 5000, "doc_id long, text string"))
+    assert np.array_equal(quality.fit(once, labels), quality.fit(often, labels))
