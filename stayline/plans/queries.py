@@ -31,7 +31,7 @@ from stayline.operators.refresh import refresh_features
 from stayline.operators.trees import leaf_table, tree_shap
 from stayline.plans import roles as R
 from stayline.plans.cohort import extract_labs, extract_vitals
-from stayline.plans.features import build_features, select_features
+from stayline.plans.features import build_features, rank_features, select_features
 from stayline.plans.modelling import explain, score_pipeline, train_pipeline
 from stayline.session import work_path
 from stayline.sources import bucketed as B
@@ -698,6 +698,13 @@ def training_report(spark, folder):
     return trained.report.join(hits, "class").select("class", "support", (fits & F.lit(area_fits)).alias("measures_fit"))
 
 
+@query
+def training_measures(spark, folder):
+    """The report that `training_report` proves, as it is: the measures of each class on the test rows, and the area under the curve."""
+    trained = train_pipeline(R.embedding_features(spark, folder), "outcome", split_key=["vec_id"], drop=["vec_id"])
+    return trained.report.withColumn("auc", F.lit(trained.auc.first()["auc"]))
+
+
 # ---------------------------------------------------------------- explanation
 
 
@@ -804,6 +811,12 @@ def gbt_select_features(spark, folder):
     return kept.select("vec_id", "outcome", F.lit(len(known)).alias("n_features"), complete.alias("complete"))
 
 
+@query
+def feature_ranking(spark, folder):
+    """All features by the mean size of their tree attributions on the test rows: what `select_features` takes the first of."""
+    return rank_features(R.embedding_features(spark, folder), "outcome", ["vec_id"], trees=20)
+
+
 @query
 def tree_shap_importance(spark, folder):
     """Every feature with its number of attributions, and whether all rows add up to the margin of their trees."""
