@@ -23,6 +23,8 @@ MOST_REPEATS = 3
 SEED = 8
 #: Words that the knapsack program closes; what lies above is taken greedily, longest first.
 CAPACITY = 1 << 16
+#: Copies of every length that are left to the program where a budget lies above CAPACITY.
+SPARE = 8
 CHUNK_ROWS = 1000
 MOST_CHUNKS = 1 << 16
 
@@ -46,28 +48,33 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def closest_subset(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length to take so that their sum comes as near the budget as can be, the lower sum in a draw.
+    """How many of each length to take so that their sum comes near the budget, the lower sum in a draw.
 
-    Every length first gives its share of nine tenths of the budget, or of all but CAPACITY / 2; what is left is taken longest
-    first down to CAPACITY / 2 words, and closed by the program, as near as the counts left allow.
+    A budget up to CAPACITY goes through the program whole: no other choice comes nearer. Beyond it every length first gives its
+    share of all but CAPACITY / 2 words, except SPARE copies, and what is left is taken longest first down to CAPACITY / 2 words
+    and closed by the program over all copies left. The gap is then at most half of the longest length.
     """
     counts = {length: n for length, n in counts.items() if length > 0 and n > 0}
     whole = sum(length * n for length, n in counts.items())
     if budget >= whole:
         return counts
-    scaled = budget - min(budget // 10, CAPACITY // 2)
-    taken = {length: n * scaled // whole for length, n in counts.items()}
-    left = budget - sum(length * n for length, n in taken.items())
-    for length in sorted(counts, reverse=True):
-        more = min(counts[length] - taken[length], max(0, left - CAPACITY // 2) // length)
-        taken[length] += more
-        left -= more * length
+    taken, left = dict.fromkeys(counts, 0), budget
+    if budget > CAPACITY:
+        scaled = budget - CAPACITY // 2
+        taken = {length: min(n * scaled // whole, max(0, n - SPARE)) for length, n in counts.items()}
+        left -= sum(length * n for length, n in taken.items())
+        for length in sorted(counts, reverse=True):
+            more = min(counts[length] - taken[length], max(0, left - CAPACITY // 2) // length)
+            taken[length] += more
+            left -= more * length
     if left > CAPACITY:
-        # Only texts longer than the program's reach are left: one more if that comes nearer.
-        spare = [length for length in counts if taken[length] < counts[length]]
-        if spare and min(spare) < 2 * left:
-            taken[min(spare)] += 1
-        return taken
+        # Every text left is longer than what the program need not close: one more, and the program if that stays below.
+        shortest = min(length for length in counts if taken[length] < counts[length])
+        if shortest < 2 * left:
+            taken[shortest] += 1
+        if shortest >= left:
+            return taken
+        left -= shortest
     # Bits of `reach` are the sums that can be had, up to twice what is left; each step offers 1, 2, 4, ... further documents
     # of one length.
     reach, steps, mask = 1, [], (1 << (2 * left + 1)) - 1

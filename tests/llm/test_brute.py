@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import textwrap
 from collections import Counter, defaultdict
@@ -317,6 +318,41 @@ def test_closest_subset(budget):
         assert got == min(budget, sum(length * n for length, n in counts.items()))
 
 
+def test_closest_subset_has_no_nearer_choice_below_the_capacity():
+    rng = random.Random(8)
+    for _ in range(400):
+        longest = rng.choice([9, 60, 4000, 40_000])
+        counts = {rng.randint(1, longest): rng.randint(1, 4) for _ in range(rng.randint(1, 5))}
+        whole = sum(length * n for length, n in counts.items())
+        budget = rng.randint(0, min(mixing.CAPACITY, whole + 3))
+        taken = mixing.closest_subset(counts, budget)
+        sums = {0}
+        for length, n in counts.items():
+            sums = {s + length * k for s in sums for k in range(n + 1)}
+        best = min(sums, key=lambda s: (abs(s - budget), s))
+        assert sum(length * n for length, n in taken.items()) == best, (counts, budget)
+        assert all(0 <= n <= counts[length] for length, n in taken.items())
+    assert mixing.closest_subset({16544: 2, 30912: 2}, 58_915) == {16544: 0, 30912: 2}
+
+
+def test_closest_subset_gap_above_the_capacity():
+    rng = random.Random(9)
+    for _ in range(400):
+        longest = rng.choice([300, 50_000, 400_000])
+        counts = {rng.randint(1, longest): rng.choice([1, 3, 30, 900]) for _ in range(rng.randint(1, 12))}
+        whole = sum(length * n for length, n in counts.items())
+        if whole <= mixing.CAPACITY + 1:
+            continue
+        budget = rng.randint(mixing.CAPACITY + 1, whole)
+        taken = mixing.closest_subset(counts, budget)
+        assert all(0 <= n <= counts[length] for length, n in taken.items())
+        gap = abs(sum(length * n for length, n in taken.items()) - budget)
+        over = [length for length, n in counts.items() if taken[length] < n]
+        assert 2 * gap <= max(counts), (counts, budget, gap)
+        if 1 in over:
+            assert gap == 0
+
+
 # ------------------------------------------------------------ rules, models
 
 
