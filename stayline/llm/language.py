@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from stayline.llm.common import arrow_map, held_out, row_bytes, uniform
 
-#: A fit reads about SAMPLE texts of a language at most, of each a stretch of TEXT_CHARS characters at a seeded place, until
-#: DICTIONARY bytes are full.
+#: A fit learns from at most SAMPLE different texts of a language, of each a stretch of at most TEXT_CHARS characters at a seeded
+#: place; the DICTIONARY bytes of the language are shared out over all of them.
 SAMPLE = 200
 TEXT_CHARS = 2000
 DICTIONARY = 32 << 10
@@ -46,23 +46,50 @@ def plain(data: bytes) -> bytes:
     return b" ".join(text.encode().translate(LETTERS_ONLY).split())
 
 
+def shared_out(sizes: list[int], total: int) -> list[int]:
+    """Bytes that each of several texts gives: all alike, short ones whole, and what those leave goes to the others."""
+    given, open_ = [0] * len(sizes), sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    for done, i in enumerate(open_):
+        given[i] = min(sizes[i], total // (len(sizes) - done))
+        total -= given[i]
+    return given
+
+
+def dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
+    """The plain beginnings of the texts, `size` bytes at most, shared out over all of them."""
+    own = [data for data in (plain(t.encode()) for t in texts) if data]
+    # One byte a text is the blank between two.
+    return b" ".join(data[:n] for data, n in zip(own, shared_out([len(d) for d in own], size - len(own))) if n > 0)
+
+
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, order, text) of at most `sample` different texts of each language, a stretch of each; rows: lang and text.
+
+    The draw goes by a hash of the text: ids play no part, whether null or repeated, and copies count once. A first bound by the
+    estimated number of different texts leaves about twice the sample to rank, so that no language is ranked as a whole.
+    """
+    rows = rows.withColumn("order", uniform("text", seed=4))
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("kinds"))
+    # One row a language.
+    few = rows.join(F.broadcast(kinds), "lang").filter(F.col("order") * F.col("kinds") < 2 * sample)
+    place = F.floor(uniform("text", seed=44) * F.greatest(F.char_length("text") - TEXT_CHARS, F.lit(0))).cast("int") + 1
+    few = few.select("lang", "order", F.substring("text", place, TEXT_CHARS).alias("text")).distinct()
+    return few.withColumn("rank", F.expr("row_number() over (partition by lang order by order, text)")).filter(F.col("rank") <= sample).drop("rank")
+
+
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> dict[str, bytes]:
     """A dictionary for every language of the rows that are not held out, from a seeded sample of bounded size.
 
-    Rows without text or language teach nothing. The number of languages is that of the label column's values.
+    Rows without text or language teach nothing, and a language without a letter in its texts is not learned. The number of languages is that of the label
+    column's values.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(language_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
-    rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    sizes = docs.sparkSession.createDataFrame(list(counts.items()), "lang string, n long")
-    drawn = rows.withColumn("order", uniform("id", seed=4)).join(F.broadcast(sizes), "lang").filter(F.col("order") * F.col("n") < SAMPLE)
-    place = F.floor(uniform("id", seed=44) * F.greatest(F.char_length("text") - TEXT_CHARS, F.lit(0))).cast("int") + 1
-    texts: dict[str, list] = {lang: [] for lang in sorted(counts)}
-    for row in drawn.select("lang", "order", F.substring("text", place, TEXT_CHARS).alias("text")).collect():
-        texts[row["lang"]].append((row["order"], row["text"]))
-    return {lang: b" ".join(plain(t.encode()) for _, t in sorted(own))[:DICTIONARY] for lang, own in texts.items()}
+    known = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    texts: dict[str, list] = {}
+    for row in sampled(known).collect():
+        texts.setdefault(row["lang"], []).append((row["order"], row["text"]))
+    learned = {lang: dictionary([t for _, t in sorted(own)]) for lang, own in sorted(texts.items())}
+    return {lang: content for lang, content in learned.items() if content}
 
 
 @lru_cache(maxsize=2)

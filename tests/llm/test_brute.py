@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from check_oracle import compare
@@ -414,6 +415,83 @@ def test_quality_and_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in [*scored, *found])
 
 
+def test_language_against_plain_compression(spark, documents, texts):
+    """Fixed dictionaries; sizes by one compressor a chunk, written out here."""
+    dictionaries = {"de": b"der die das und nicht ein eine mit von auf " * 30, "en": b"the and of to in that with for not this " * 30}
+    letters = re.compile(rb"[^a-z\x80-\xff]+")
+
+    def size(data, content):
+        total = 0
+        for low in range(0, len(data), 1024):
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=language.LEVEL)
+            tool = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
+            total += len(tool.compress(data[low : low + 1024]))
+        return total
+
+    for r in language.identify(documents, dictionaries).collect():
+        data = letters.sub(b" ", (texts[r.doc_id] or "").lower().encode()).strip()
+        if not data:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sizes = {lang: size(data, content) for lang, content in dictionaries.items()}
+        best = min(sizes, key=lambda lang: (sizes[lang], lang))
+        least, most = sorted(sizes.values())
+        assert (r.lang_pred, r.rejected) == (best, most - least < language.MARGIN * most)
+        assert r.score == pytest.approx(1 / (1 + 2.0 ** (least - most)))
+
+
+def test_language_sample_needs_no_ids(spark):
+    """Thousands of rows with one id or none, copies of one text among them: bounded, and every language is learned."""
+    words = {"de": "der hund und die katze nicht", "en": "the dog and the cat not"}
+    rows = [(7 if i % 2 else None, lang, f"{text} {lang * 3} {'abcdefghij'[i % 10] * (i // 10 % 40 + 1)}") for lang, text in words.items() for i in range(2000)]
+    rows += [(7, "de", "immer derselbe satz")] * 1000 + [(7, "xx", "12 34"), (7, "yy", ""), (7, "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    per_language = Counter(r.lang for r in language.sampled(docs.select("lang", "text").filter("text is not null")).collect())
+    assert per_language == {"de": language.SAMPLE, "en": language.SAMPLE, "xx": 1, "yy": 1}
+    learned = language.fit(docs)
+    assert sorted(learned) == ["de", "en"] and all(0 < len(c) <= language.DICTIONARY for c in learned.values())
+    asked = spark.createDataFrame([(1, "der hund und die katze nicht dedede aaa"), (2, "the dog and the cat not enenen bbb")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(asked, learned).collect()} == {1: "de", 2: "en"}
+
+
+def test_dictionary_takes_from_every_text():
+    assert language.shared_out([5, 100, 3, 100], 60) == [5, 26, 3, 26]
+    assert language.shared_out([], 9) == [] and language.shared_out([4, 4], 100) == [4, 4] and language.shared_out([9, 9, 9], 2) == [0, 1, 1]
+    content = language.dictionary([f"{'abcdefghijklmnopqrst'[i]} " * 4000 for i in range(20)])
+    assert len(content) <= language.DICTIONARY and all(content.count(letter.encode()) > 700 for letter in "abcdefghijklmnopqrst")
+
+
+def test_quality_fit_against_a_plain_loop():
+    """Follow-the-regularised-leader over dictionaries of features, one number at a time."""
+    draw = random.Random(4)
+    rows = []
+    for _ in range(60):
+        index = sorted(draw.sample(range(12), draw.randint(0, 5)))
+        rows.append((index, [draw.randint(1, 3) for _ in index], draw.random() * 4, int(bool(index) and index[0] < 3)))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for index, counts, scale, label in rows:
+            values = {i: c * scale for i, c in zip(index, counts)} | {quality.SIZE: 1.0}
+            own = {i: weight(i) for i in values}
+            p = 1 / (1 + math.exp(-sum(own[i] * v for i, v in values.items())))
+            for i, v in values.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * own[i]
+                n[i] += g * g
+    packed = [(np.append(index, quality.SIZE).astype(np.int32), np.array(counts, np.int32), scale, label) for index, counts, scale, label in rows]
+    fitted = quality.fit_rows(packed)
+    assert {int(i) for i in np.flatnonzero(fitted)} <= set(z)
+    for i in z:
+        assert fitted[i] == pytest.approx(weight(i), abs=1e-9)
+
+
 def test_models_do_not_learn_from_held_out_rows(spark):
     """Flipping the labels of held-out rows changes no score."""
     folder = "/root/testdata/sf0.001"
