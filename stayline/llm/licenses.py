@@ -2,8 +2,9 @@
 
 A block (one line, two neighbouring lines, or a window of words, for notices wrapped over more lines) matches a template if it
 holds at least THRESHOLD of the template's distinct words. A window is three times as long as the template it is made for, one
-begins at every template length, and it is compared with no template shorter than that: so twice a template's length in a row,
-however it is broken into lines, always stands in a block of its own. Tokens are ordered by how few documents of the corpus hold them. In that order a block and a
+begins at every template length, and it is compared with templates of that length: so twice a template's length in a row,
+however it is broken into lines, always stands in a block of its own. A line or two of more words than a template's window are
+not compared with that template, so that words scattered over a long line count no more than over many lines. Tokens are ordered by how few documents of the corpus hold them. In that order a block and a
 template that match share a token among the first few of both (prefix filter), and what can still follow behind that token
 must suffice (positional filter); blocks with too few template words are left out at once (length filter). Pairs that pass
 are verified. Places of four fixed phrases are found beside, by their words.
@@ -113,36 +114,41 @@ def template_table(templates) -> list[dict]:
 def _words(text: Column) -> Column:
     """Words with A-Z in lower case. Two letters whose small form begins with an ASCII one are put aside first."""
     text = F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ĸ"))
-    return F.split(F.lower(text), GAP)
+    return F.array_remove(F.split(F.lower(text), GAP), "")
 
 
 def scanned(docs: DataFrame, table: list[dict], id_column: str, text_column: str) -> DataFrame:
     """One numbered row a document: base places, the template words it holds, and the blocks that may match.
 
     A block is kept if it has as many template words as the least demanding template; a document that holds too few words
-    of every template has none. Each block stands with the least length of the templates that it is compared with: 0 for lines.
+    of every template has none. Each block stands with the least and greatest length of the templates that it is compared with.
     """
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for t in table for w in t["words"]})])
     wanted = F.array(*[F.struct(F.array(*[F.lit(w) for w in t["words"]]).alias("words"), F.lit(t["need"]).alias("need")) for t in table])
-    least = min(t["need"] for t in table)
+    least, longest = min(t["need"] for t in table), max(t["length"] for t in table)
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def possible(held: Column, wanted: Column = wanted) -> Column:
         return F.exists(wanted, lambda t: F.size(F.array_intersect(held, t["words"])) >= t["need"])
 
-    def kept(sets: Column, length: int, least: int) -> Column:
-        sets = F.array_distinct(F.filter(sets, lambda block: F.size(block) >= least))
-        return F.transform(sets, lambda block: F.struct(F.lit(length).alias("length"), block.alias("words")))
+    def kept(sets: Column, least: int) -> Column:
+        return F.array_distinct(F.filter(sets, lambda block: F.size(block["words"]) >= least))
+
+    def block(words: Column, low: Column, high: int, wanted: Column) -> Column:
+        return F.struct(low.cast("int").alias("low"), F.lit(high).alias("high"), F.array_intersect(words, wanted).alias("words"))
 
     def pairs(lines: Column) -> Column:
         return F.concat(lines, F.transform(lines, lambda line, i: F.concat_ws(" ", line, F.get(lines, i + 1))))
 
     def blocks(lines: Column) -> Column:
-        return kept(F.transform(pairs(lines), lambda block: F.array_intersect(_words(block), vocabulary)), 0, least)
+        def whole(words: Column) -> Column:
+            return block(words, F.ceil(F.size(words) / WINDOW), longest, vocabulary)
+
+        return kept(F.transform(pairs(lines), lambda line: let(_words(line), whole)), least)
 
     def cut(words: Column, length: int, wanted: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(words), F.lit(length))
-        return F.transform(starts, lambda at: F.array_intersect(F.slice(words, at, F.lit(WINDOW * length)), wanted))
+        return F.transform(starts, lambda at: block(F.slice(words, at, F.lit(WINDOW * length)), F.lit(length), length, wanted))
 
     def windows(words: Column) -> Column:
         """Of each template length, if the document holds enough words of a template of that length."""
@@ -152,10 +158,10 @@ def scanned(docs: DataFrame, table: list[dict], id_column: str, text_column: str
             all_words = F.array(*[F.lit(w) for w in sorted({w for t in own for w in t["words"]})])
             these = F.array(*[F.struct(F.array(*[F.lit(w) for w in t["words"]]).alias("words"), F.lit(t["need"]).alias("need")) for t in own])
             sets = cut(words, length, all_words)
-            found.append(F.when(possible(F.col("held"), these), kept(sets, length, min(t["need"] for t in own))).otherwise(none))
+            found.append(F.when(possible(F.col("held"), these), kept(sets, min(t["need"] for t in own))).otherwise(none))
         return F.concat(*found)
 
-    none = F.array().cast("array<struct<length:int,words:array<string>>>")
+    none = F.array().cast("array<struct<low:int,high:int,words:array<string>>>")
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = rows.select(
         "id",
@@ -164,8 +170,9 @@ def scanned(docs: DataFrame, table: list[dict], id_column: str, text_column: str
         base_places(text).alias("base"),
         F.array_intersect(_words(text), vocabulary).alias("held"),
     )
-    # Two lines or fewer are one block already.
-    wrapped = F.when(text.rlike("\n[^\n]*\n"), let(_words(text), windows)).otherwise(none)
+    # Two lines or fewer, no longer than the shortest template's window, are one block already.
+    many = text.rlike("\n[^\n]*\n") | (F.col("n_words") > WINDOW * min(t["length"] for t in table))
+    wrapped = F.when(many, let(_words(text), windows)).otherwise(none)
     found = F.when(possible(F.col("held")), F.concat(let(F.split(text, "\n"), blocks), wrapped)).otherwise(none)
     return numbered(rows.select("id", "n_words", "base.*", "held", found.alias("blocks")))
 
@@ -186,13 +193,13 @@ def matches(rows: DataFrame, table: list[dict]) -> DataFrame:
     # At most the words of the templates, which are a parameter.
     theirs = spark.createDataFrame(prefixes, "word string, template int, label string, their_length int, their_place int, words array<string>, need int")
     ranks = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    sized = rows.select("row", F.explode("blocks").alias("found")).select("row", F.col("found.length").alias("length"), F.col("found.words").alias("block"))
+    sized = rows.select("row", F.explode("blocks").alias("found")).select("row", "found.low", "found.high", F.col("found.words").alias("block"))
     in_order = F.transform(F.array_sort(F.transform("block", lambda w: F.struct(F.element_at(ranks, w).alias("rank"), w.alias("word")))), lambda s: s["word"])
-    sized = sized.select("row", "length", in_order.alias("block"), F.size("block").alias("size"))
+    sized = sized.select("row", "low", "high", in_order.alias("block"), F.size("block").alias("size"))
     prefix = F.slice("block", F.lit(1), F.col("size") - least + 1)
-    ours = sized.select("row", "length", "block", "size", F.posexplode(prefix).alias("place", "word"))
+    ours = sized.select("row", "low", "high", "block", "size", F.posexplode(prefix).alias("place", "word"))
     after = F.least(F.size("words") - F.col("their_place"), F.col("size") - F.col("place"))
-    pairs = ours.join(F.broadcast(theirs), "word").filter(F.col("their_length") >= F.col("length"))
+    pairs = ours.join(F.broadcast(theirs), "word").filter(F.col("their_length").between(F.col("low"), F.col("high")))
     pairs = pairs.filter((F.col("size") >= F.col("need")) & (F.col("place") <= F.col("size") - F.col("need")) & (after >= F.col("need")))
     shared = F.size(F.array_intersect("block", "words"))
     verified = pairs.withColumn("shared", shared).filter("shared >= need")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stayline.llm.licenses import PHRASES, TEMPLATES, template_table
+from stayline.llm.licenses import PHRASES, TEMPLATES, WINDOW, template_table
 
 #: Words of the word-run operators: A-Z in lower case, then runs of letters, digits and everything above ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -42,7 +42,7 @@ def _places() -> str:
 
 
 def _templates() -> str:
-    rows = [f"('{t['label']}', {t['words']!r}, {t['need']})" for t in template_table(TEMPLATES)]
+    rows = [f"('{t['label']}', {t['words']!r}, {t['need']}, {t['length']})" for t in template_table(TEMPLATES)]
     return "VALUES " + ", ".join(rows)
 
 
@@ -54,11 +54,19 @@ blocks AS (
   SELECT r, unnest(l) AS block FROM lines
   UNION ALL SELECT r, unnest([concat_ws(' ', l[i], l[i + 1]) for i in range(1, len(l) + 1)]) FROM lines
 ),
-sets AS (SELECT DISTINCT r, list_distinct({_WORDS.format("block")}) AS s FROM blocks),
-templates(label, words, need) AS ({_templates()}),
+sets AS (SELECT DISTINCT r, len(b) AS n, list_distinct(b) AS s FROM (SELECT r, {_WORDS.format("block")} AS b FROM blocks)),
+templates(label, words, need, length) AS ({_templates()}),
+held AS (SELECT * FROM docs, templates WHERE len(list_intersect(list_distinct(w), words)) >= need),
+windows AS (
+  SELECT DISTINCT r, label, words, need, unnest([list_distinct(w[i + 1 : i + {WINDOW} * length]) for i in range(0, len(w), length)]) AS s
+  FROM held
+),
+compared AS (
+  SELECT r, label, words, need, s FROM sets, templates WHERE len(s) >= need AND n <= {WINDOW} * length
+  UNION ALL SELECT r, label, words, need, s FROM windows
+),
 found AS (
-  SELECT r, label, len(list_intersect(s, words)) / len(words) AS containment
-  FROM sets, templates WHERE len(s) >= need AND len(list_intersect(s, words)) >= need
+  SELECT r, label, len(list_intersect(s, words)) / len(words) AS containment FROM compared WHERE len(list_intersect(s, words)) >= need
 ),
 labels AS (SELECT r, list(DISTINCT label) AS found, max(containment) AS containment FROM found GROUP BY r)
 SELECT doc_id, n_words, len(places)::BIGINT AS n_base,

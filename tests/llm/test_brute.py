@@ -537,6 +537,35 @@ def test_wrapped_licenses(spark):
     assert rows[len(wanted)].labels == "" and rows[len(wanted)].score == 0.0
 
 
+def test_licenses_against_sql_whatever_the_layout(spark):
+    """Wrapped notices, notices inside long lines, words of notices scattered over one line and over many."""
+    draw = random.Random(3)
+    far = [f"word{k}" for k in range(700)]
+    rows = [None, "", " \n\n ", "-- mit license\nİ K released under the MIT licence"]
+    for _, template in licenses.TEMPLATES:
+        words = template.split()
+        rows.append(" ".join([*far[:300], *words, *far[300:]]))
+        rows.append("*\n".join(words) + "\n" + " ".join(far[:90]))
+        missing = [w for w in words if w != draw.choice(words)]
+        rows.append("\n".join(textwrap.wrap(" ".join([*far[:20], *missing, *far[20:50]]), draw.choice([15, 33, 60, 400]))))
+        gap = draw.choice([1, 2, 3, 5, 40])
+        spread = [x for w in words for x in (w, *draw.sample(far, gap))]
+        rows += [" ".join(spread), "\n".join(spread), "\n".join(textwrap.wrap(" ".join(spread), 70))]
+    scattered = list(far) * 3
+    for place, word in zip((11, 400, 900, 1300, 2000), "released under the mit license".split()):
+        scattered.insert(place, word)
+    rows += [" ".join(scattered), "\n".join(scattered), "\n".join(textwrap.wrap(" ".join(scattered), 80))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    ours = {r.doc_id: r.asDict() for r in licenses.find_licenses(docs).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    for r in con.execute(ORACLE["op3_licenses"]).df().astype(object).where(lambda d: d.notna(), None).to_dict("records"):
+        assert ours[r["doc_id"]] == r, rows[r["doc_id"]]
+    assert [ours[len(rows) - k]["labels"] for k in (1, 2, 3)] == [""] * 3
+    # A notice inside a long line is found.
+    assert all(label in ours[4 + 6 * i]["labels"].split(",") for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_quality_learns_one_document_an_id(spark):
     """5,000 rows of one id weigh as one, so the sample bounds the rows that a task holds."""
     rows = [(i, f"good words {i} here" if i % 2 else f"bad junk {i} there") for i in range(60)]
