@@ -444,6 +444,34 @@ subsets AS (SELECT *, {", ".join(f"{_subset_score(s)} AS s{s}" for s in range(8)
 
 ORACLE["exact_shapley_batches"] = ORACLE["exact_shapley"]
 
+
+def _mixed_score(subset: int) -> str:
+    """The mean over the background with the features of a subset taken from the row."""
+    terms = " + ".join(f"({w}) * {x if subset >> i & 1 else 'b.' + x.replace('p.', '')}" for i, (x, w) in enumerate(zip([f"p.{x}" for x in _X], _W)))
+    return f"sum(n / (1.0 + exp(-(-0.2 + {terms})))) / sum(n)"
+
+
+ORACLE["walk_shapley"] = f"""
+WITH {PARTS},
+background AS (
+  SELECT (floor(p_size / 10) * 10.0 - 25.0) / 14.0 AS p_size, (floor(p_retailprice / 500) * 500.0 - 1400.0) / 300.0 AS p_retailprice,
+         0.0 AS name_length, count(*) AS n
+  FROM raw GROUP BY 1, 2),
+subsets AS (
+  SELECT p.p_partkey, {", ".join(f"any_value(p.{x}) AS {x}" for x in _X)}, {", ".join(f"{_mixed_score(s)} AS s{s}" for s in range(8))}
+  FROM parts p, background b GROUP BY p.p_partkey)
+{" UNION ALL ".join(
+    f"SELECT p_partkey, {r('s0')} AS base_value, '{x}' AS feature, {r(x)} AS value, {r(_shapley(i))} AS shap, 0.0::DOUBLE AS error FROM subsets"
+    for i, x in enumerate(_X))}"""
+
+_VECTOR_MARGIN = " + ".join(["0.1"] + [f"({(i % 7 - 3) / 4}) * {{0}}[{i + 1}]" for i in range(64)])
+ORACLE["walk_shapley_wide"] = f"""
+WITH cells AS (SELECT vec_id, label >= 5 AS outcome, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+background AS (SELECT outcome, [{", ".join(f"round(min(e[{i + 1}]), 1)" for i in range(64))}] AS b FROM cells GROUP BY outcome),
+base AS (SELECT avg(1.0 / (1.0 + exp(-({_VECTOR_MARGIN.format("b")})))) AS base_value FROM background)
+SELECT vec_id, {r("base_value")} AS base_value, {r(f"1.0 / (1.0 + exp(-({_VECTOR_MARGIN.format('e')})))")} AS score, true AS has_errors
+FROM cells, base"""
+
 # ---------------------------------------------------------------- exploring
 
 ORACLE["explore_cohort"] = f"""

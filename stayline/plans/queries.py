@@ -25,6 +25,7 @@ from stayline.operators import explore as E
 from stayline.operators import features as FT
 from stayline.operators import prep as P
 from stayline.operators import scoring as S
+from stayline.operators import walks as WK
 from stayline.operators.cohort import first_per_key, select_codes, short_stays
 from stayline.operators.extract import window_extract, window_extract_stored, with_dictionary
 from stayline.operators.refresh import refresh_features
@@ -783,6 +784,31 @@ def exact_shapley_batches(spark, folder):
     return rounded(X.explode_contributions(explained))
 
 
+@query
+def walk_shapley(spark, folder):
+    """Attributions against all parts, binned; three features have six orders, so the values are exact and the errors 0."""
+    binned = R.part_features(spark, folder).select(
+        (F.floor(F.col("p_size") / 10) * 10.0).alias("p_size"),
+        (F.floor(F.col("p_retailprice") / 500) * 500.0).alias("p_retailprice"),
+        F.lit(10.0).alias("name_length"),
+    )
+    background = WK.weighted_background(R.PART_MODEL.scale(binned), R.PART_FEATURES)
+    explained = WK.walk_shapley(R.scaled_parts(spark, folder), R.PART_FEATURES, R.PART_MODEL.predict, ["p_partkey"], background)
+    return rounded(X.explode_contributions(explained))
+
+
+@query
+def walk_shapley_wide(spark, folder):
+    """All 64 vector positions: the mean score over the background, the score of a row, and what the attributions add up to."""
+    vectors = R.embedding_features(spark, folder)
+    lowest = vectors.groupBy("outcome").agg(*[F.round(F.min(n), 1).alias(n) for n in R.EMBEDDING_FEATURES])
+    background = WK.weighted_background(lowest, R.EMBEDDING_FEATURES)
+    explained = WK.walk_shapley(vectors, R.EMBEDDING_FEATURES, R.VECTOR_MODEL.predict, ["vec_id"], background, pairs=4)
+    added = F.aggregate("contributions", F.lit(0.0), lambda total, c: total + c["shap"])
+    complete = F.forall("contributions", lambda c: c["error"] >= 0)
+    return rounded(explained.select("vec_id", "base_value", (F.col("base_value") + added).alias("score"), complete.alias("has_errors")))
+
+
 @query
 def explain_tables(spark, folder):
     """All tables of an explanation, one under the other."""

@@ -197,6 +197,7 @@ def newton_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EMBEDDING_FEATURES = [f"e{i}" for i in range(64)]
+VECTOR_MODEL = LogisticModel(features=EMBEDDING_FEATURES, weights=[(i % 7 - 3) / 4 for i in range(64)], intercept=0.1)
 
 
 def embedding_features(spark: SparkSession, folder: str) -> DataFrame:
