@@ -152,7 +152,8 @@ def mix(
     before = F.expr("sum(here) over (partition by source_key, size order by chunk rows between unbounded preceding and 1 preceding)")
     quota = there.withColumn("quota", F.least(F.greatest(F.col("extra") - F.coalesce(before, F.lit(0)), F.lit(0)), F.col("here")))
     quota = materialize(quota.select(*keys, "quota"))
-    ranked = dealt.join(quota, keys).withColumn("rank", F.expr("row_number() over (partition by source_key, size, chunk order by order, id)"))
+    # The quotas grow with the rows; a merge join has the partitioning that the ranks need anyway.
+    ranked = dealt.join(quota.hint("merge"), keys).withColumn("rank", F.expr("row_number() over (partition by source_key, size, chunk order by order, id)"))
     some = ranked.withColumn("more", (F.col("rank") <= F.col("quota")).cast("long")).drop("quota", "rank", "chunk")
     plain = fitted.filter("extra = 0 or extra = n")
     others = base.join(plain.select("source_key", "size", (F.col("extra") > 0).cast("long").alias("more")), ["source_key", "size"])
