@@ -173,7 +173,7 @@ def merge_features(base: DataFrame, *features: DataFrame, on: list[str], **join_
 
 
 def column_coverage(df: DataFrame) -> DataFrame:
-    """Share of filled values of every column, one row per column, from one aggregate."""
+    """Share of filled values of every column, one row per column, from one aggregate; null if there are no rows."""
     total = F.count(F.lit(1))
     filled = []
     for i, field in enumerate(df.schema.fields):
@@ -181,7 +181,7 @@ def column_coverage(df: DataFrame) -> DataFrame:
         present = column.isNotNull()
         if isinstance(field.dataType, (DoubleType, FloatType)):
             present = present & ~F.isnan(column)
-        filled.append((F.count_if(present) / total).alias(f"_{i}"))
+        filled.append(F.try_divide(F.count_if(present), total).alias(f"_{i}"))
     shares = df.agg(*filled)
     pairs = [
         F.struct(F.lit(name).alias("column_name"), F.col(f"_{i}").alias("coverage"))

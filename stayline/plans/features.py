@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.predicates import col_named
+from stayline.operators import sparse as SP
 from stayline.operators.columns import drop_leaky_columns, numeric_columns, select_final
 from stayline.operators.explain import global_importance
 from stayline.operators.features import (
     MAX_LABELS,
+    complete_rows,
+    drop_sparse_columns,
     drop_sparse_complete,
     filter_high_coverage,
     high_coverage_labels,
     merge_features,
     time_series_features,
+    time_series_long,
 )
 from stayline.operators.joins import sized_join
 from stayline.operators.prep import drop_missing_target, hash_split, split_parts
@@ -85,6 +89,49 @@ def build_features(
     return drop_sparse_complete(merged, column_coverage, **column_rules)
 
 
+def build_features_sparse(
+    cohort: DataFrame,
+    vitals: DataFrame,
+    labs: DataFrame,
+    stay: str = "icustay_id",
+    vitals_coverage: float = 0.95,
+    labs_coverage: float = 0.70,
+    column_coverage: float = 0.8,
+    path: str | None = None,
+    start: str = "intime",
+    max_features: int = MAX_LABELS,
+    protect: list[str] | None = None,
+    ignore: list[str] | None = None,
+) -> DataFrame:
+    """The rows of `build_features`, for any number of labels.
+
+    Labels stay rows until the end: no list of them reaches the driver, and no plan has a column for each. A stay has one array of its filled
+    features; coverage and complete rows are decided on the arrays, and only what is kept, at most the mean length of
+    the arrays / `column_coverage`, becomes columns. More than `max_features` of these raise, and so does a kept feature with
+    the name of a cohort column.
+    """
+    origin = None
+    starts = None
+    if start in cohort.columns:
+        starts = materialize(cohort.groupBy(col_named(stay)).agg(F.min(col_named(start)).alias("_start")))
+    sets = {}
+    for readings, kind, coverage in ((vitals, "vitals", vitals_coverage), (labs, "labs", labs_coverage)):
+        label, value = f"{kind}_label", f"{kind}_valuenum"
+        covered = filter_high_coverage(readings, label, stay, coverage)
+        if starts is not None:
+            covered = sized_join(covered, starts, [stay], "left")
+            origin = F.coalesce(F.col("_start"), F.col("charttime"))
+        long = time_series_long(covered, [stay], label, "charttime", value, origin)
+        sets[kind] = materialize(long.withColumnRenamed(label, "_label"))
+    numbers = SP.number_labels(sets, "_label")
+    arrays = materialize(SP.sparse_features(sets, stay, "_label", numbers))
+    merged = materialize(SP.merge_sparse(cohort, arrays, [stay]), path)
+    base = drop_sparse_columns(merged.drop(SP.FEATURES), column_coverage, protect, ignore).columns
+    kept = SP.covered_names(merged, numbers, column_coverage, protect, ignore, max_features)
+    narrow = SP.keep_features(merged.select(*[col_named(c) for c in base], SP.FEATURES), kept, complete=True)
+    return SP.widen(complete_rows(narrow), kept, complete=True)
+
+
 def rank_features(
     df: DataFrame,
     target: str = "mortality_30d",

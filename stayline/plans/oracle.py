@@ -262,6 +262,7 @@ kept AS (SELECT feature FROM cells GROUP BY 1 HAVING count(value) / CAST(count(*
 held AS (SELECT c.* FROM cells c JOIN kept USING (feature)),
 whole AS (SELECT icustay_id, icd9_code FROM held GROUP BY 1, 2 HAVING count(value) = count(*))
 SELECT icustay_id, icd9_code, feature, {LONG_VALUE} AS value FROM held JOIN whole USING (icustay_id, icd9_code)"""
+ORACLE["build_features_by_arrays"] = ORACLE["build_features_full"]
 
 # ---------------------------------------------------------------- columns
 

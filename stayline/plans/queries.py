@@ -32,7 +32,7 @@ from stayline.operators.refresh import refresh_features
 from stayline.operators.trees import leaf_table, tree_shap
 from stayline.plans import roles as R
 from stayline.plans.cohort import extract_labs, extract_vitals
-from stayline.plans.features import build_features, rank_features, select_features
+from stayline.plans.features import build_features, build_features_sparse, rank_features, select_features
 from stayline.plans.modelling import explain, score_pipeline, train_pipeline
 from stayline.session import work_path
 from stayline.sources import bucketed as B
@@ -511,6 +511,15 @@ def build_features_full(spark, folder):
     return long_rounded(X.to_long(wide, ["icustay_id", "icd9_code"], features))
 
 
+@query
+def build_features_by_arrays(spark, folder):
+    """The same rows, labels kept as arrays until the kept features are known."""
+    cohort, vitals, labs = _feature_inputs(spark, folder)
+    wide = build_features_sparse(cohort, vitals, labs, vitals_coverage=0.7, labs_coverage=0.65, column_coverage=0.6)
+    features = [c for c in wide.columns if c.split("_")[0] in FT.STATS]
+    return long_rounded(X.to_long(wide, ["icustay_id", "icd9_code"], features))
+
+
 # ---------------------------------------------------------------- columns
 
 
