@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
-from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,11 +12,11 @@ from pyspark.sql.types import DoubleType, FloatType, StringType
 from stayline.functions.predicates import col_named, has_number, number_or_null
 from stayline.operators.columns import drop_columns, numeric_columns
 from stayline.operators.joins import sized_join
+from stayline.operators.radix import exact_quantiles
 from stayline.sources.tables import materialize
 
 HASH_BITS = 60
 HASH_STEP = 20
-DIRECT_ROWS = 100_000
 MAX_LEVELS = 1_000
 
 
@@ -111,112 +109,6 @@ def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFr
     return below.unionByName(last).drop("_hash")
 
 
-# ---------------------------------------------------------------- exact medians
-
-
-@dataclass
-class _Search:
-    """Looking for the value with the given rank (from 0) among the values in (low, high)."""
-
-    column: str
-    rank: int
-    rows: int
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    def inside(self) -> Column:
-        values = F.col(self.column)
-        condition = values.isNotNull()
-        if self.low is not None:
-            condition = condition & (values > self.low)
-        if self.high is not None:
-            condition = condition & (values < self.high)
-        return F.when(condition, values)
-
-
-def exact_quantiles(
-    df: DataFrame, columns: list[str], q: float = 0.5, direct_rows: int = DIRECT_ROWS, accuracy: int = 10_000
-) -> dict[str, float | None]:
-    """Exact quantiles of each column (linear between the two neighbours, nulls skipped).
-
-    Two ranks are looked for in every column. A value map as large as the data would not fit one task, so
-    the range is first narrowed: an approximate percentile gives two values around the wanted rank, counts
-    at these values say which side the rank lies on, and the search goes on strictly between them. Each
-    round leaves a small share of the rows, and values repeated many times end the search at once;
-    `direct_rows` values or fewer are picked from directly. Only counts and bounds reach the driver. The
-    columns are written once, as every round reads them.
-    """
-    if not columns:
-        return {}
-    names = [f"_{i}" for i in range(len(columns))]
-    stored = materialize(df.select(*[number_or_null(col_named(c).cast("double")).alias(n) for c, n in zip(columns, names)]))
-    sizes = stored.agg(*[F.count(n).alias(n) for n in names]).first()
-    searches: dict[tuple[str, int], _Search] = {}
-    places: dict[str, tuple[int, float]] = {}
-    for name in names:
-        if sizes[name]:
-            place = (sizes[name] - 1) * q
-            places[name] = (floor(place), place - floor(place))
-            for rank in {floor(place), min(floor(place) + 1, sizes[name] - 1)}:
-                searches[name, rank] = _Search(name, rank, sizes[name])
-    while open_searches := [s for s in searches.values() if s.value is None]:
-        _narrow(stored, open_searches, direct_rows, accuracy)
-    found: dict[str, float | None] = dict.fromkeys(columns)
-    for column, name in zip(columns, names):
-        if name in places:
-            rank, share = places[name]
-            low = searches[name, rank].value
-            high = searches[name, rank + 1].value if share else low
-            # Equal infinities have no difference.
-            found[column] = low if low == high else low + (high - low) * share
-    return found
-
-
-def _narrow(df: DataFrame, searches: list[_Search], direct_rows: int, accuracy: int) -> None:
-    """One round: settle the searches that are small enough, narrow the others."""
-    df = df.select("*", *[s.inside().alias(f"_inside{i}") for i, s in enumerate(searches)])
-    picks = []
-    for i, s in enumerate(searches):
-        inside = F.col(f"_inside{i}")
-        if s.rows <= direct_rows:
-            # The value at the rank itself: half a step into it.
-            share = (s.rank + 0.5) / s.rows
-            picks.append(F.array(F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY _inside{i})")).alias(f"_{i}"))
-        else:
-            margin = 2.0 / accuracy
-            middle = (s.rank + 0.5) / s.rows
-            ends = [max(0.0, middle - margin), min(1.0, middle + margin)]
-            picks.append(F.percentile_approx(inside, ends, accuracy).alias(f"_{i}"))
-    row = df.agg(*picks).first()
-    bounds: list[tuple[_Search, float, float]] = []
-    for i, s in enumerate(searches):
-        if s.rows <= direct_rows:
-            s.value = row[f"_{i}"][0]
-        else:
-            bounds.append((s, *row[f"_{i}"]))
-    if not bounds:
-        return
-    sizes = []
-    for i, (s, low, high) in enumerate(bounds):
-        inside = s.inside()
-        for j, condition in enumerate((inside < low, inside <= low, inside < high, inside <= high)):
-            sizes.append(F.count_if(condition).alias(f"_{i}_{j}"))
-    row = df.agg(*sizes).first()
-    for i, (s, low, high) in enumerate(bounds):
-        below_low, upto_low, below_high, upto_high = (row[f"_{i}_{j}"] for j in range(4))
-        if s.rank < below_low:
-            s.high, s.rows = low, below_low
-        elif s.rank < upto_low:
-            s.value = low
-        elif s.rank < below_high:
-            s.low, s.high, s.rank, s.rows = low, high, s.rank - upto_low, below_high - upto_low
-        elif s.rank < upto_high:
-            s.value = high
-        else:
-            s.low, s.rank, s.rows = high, s.rank - upto_high, s.rows - upto_high
-
-
 # ---------------------------------------------------------------- impute and scale
 
 

@@ -35,8 +35,7 @@ def test_stratified_split_keeps_copies_of_a_key_together(spark):
     assert split.count() == 300
 
 
-@pytest.mark.parametrize("direct", [100_000, 50])
-def test_exact_quantiles_match_numpy(spark, direct):
+def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     n = 5000
     data = {
@@ -49,7 +48,7 @@ def test_exact_quantiles_match_numpy(spark, direct):
     rows = list(zip(*[[float(x) for x in column] for column in data.values()]))
     df = spark.createDataFrame(rows, ", ".join(f"{c} DOUBLE" for c in data)).repartition(4)
     for q in (0.5, 0.25):
-        got = P.exact_quantiles(df, list(data), q, direct_rows=direct, accuracy=100)
+        got = P.exact_quantiles(df, list(data), q)
         for name, column in data.items():
             assert got[name] == pytest.approx(np.quantile(column, q), rel=1e-12), name
 
@@ -85,19 +84,16 @@ def test_one_hot_drops_the_first_level(spark):
         P.column_levels(df, "s", max_levels=2)
 
 
-def test_sample_is_reproducible_and_bounded(spark, monkeypatch):
+def test_sample_is_reproducible_and_bounded(spark):
     df = spark.range(500)
     few = sorted(r.id for r in P.sample_rows(df, ["id"], 20).collect())
     assert len(few) == 20 and few == sorted(r.id for r in P.sample_rows(df.repartition(5), ["id"], 20).collect())
-    monkeypatch.setattr(P, "DIRECT_ROWS", 10)
-    assert few == sorted(r.id for r in P.sample_rows(df, ["id"], 20).collect())
     assert P.sample_rows(df, ["id"], 1000).count() == 500
     copies = spark.range(100).select(F.lit(1).alias("id"))
     assert P.sample_rows(copies, ["id"], 20).count() == 20
 
 
-@pytest.mark.parametrize("direct", [100_000, 3])
-def test_quantiles_of_infinities_ties_and_single_values(spark, direct):
+def test_quantiles_of_infinities_ties_and_single_values(spark):
     inf = float("inf")
     data = {
         "up": [inf] * 7 + [1.0, 2.0, None],
@@ -108,7 +104,7 @@ def test_quantiles_of_infinities_ties_and_single_values(spark, direct):
         "even": [1.0, 2.0, 3.0, 4.0, None, None, 5.0, 6.0, None, None],
     }
     df = spark.createDataFrame(list(zip(*data.values())), ", ".join(f"`{c}` DOUBLE" for c in data)).repartition(3)
-    got = P.exact_quantiles(df, list(data), 0.5, direct_rows=direct, accuracy=100)
+    got = P.exact_quantiles(df, list(data), 0.5)
     assert got == {"up": inf, "down": -inf, "one": 5.0, "same": 4.0, "none": None, "even": 3.5}
 
 
