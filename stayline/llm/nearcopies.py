@@ -8,9 +8,9 @@ only pairs that agree so often are verified on their shingle sets (64-bit hashes
 What a group asks for is its connection, not its pairs. First each set meets one member of each of its keys, and the likeliest
 of a few of those pairs is verified. Keys whose members are in one class by then, as groups of copies mostly are, are done.
 In the others the sketches of different classes are compared inside tasks, in blocks of at most `BLOCK` sets a side, so a
-crowded key spreads over tasks and emits only likely pairs. Of these the likeliest of two classes is verified first, and
-where that fails those that agree in `LIKELIER` minima, which all but 7 in 100 pairs at the least similarity do: a link is lost
-only if neither its pair nor any other way between its two classes is found.
+crowded key spreads over tasks, and a block gives only the likeliest pair of every two classes. Where that fails and the whole classes are
+apart still, the sketches are compared once more for pairs that agree in `LIKELIER` minima, which all but 7 in 100 pairs at the least
+similarity do: a link is lost only if neither its pair nor any other way between its two classes is found.
 """
 
 from __future__ import annotations
@@ -105,36 +105,60 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v[other]) for v in (keys, of, sets)], ["key", "centre", "set"])
 
 
-def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, set, class, sketch), sorted by part -> (a, b, p, q, agree): likely pairs of unlike classes p < q.
+def likeliest(found: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns a, b, p, q, agree, n of pairs -> one row per (p, q): the greatest (agree, a, b), and the sum of n."""
+    a, b, p, q, agree, n = found
+    order = np.lexsort((b, a, agree, q, p))
+    p, q = p[order], q[order]
+    last = np.append((p[1:] != p[:-1]) | (q[1:] != q[:-1]), True)
+    upto = np.cumsum(n[order])[last]
+    return [a[order][last], b[order][last], p[last], q[last], agree[order][last], np.diff(upto, prepend=0)]
 
+
+def cross(least: int, every: bool):
+    """For `arrow_map`: rows (part, set, class, sketch), sorted by part -> (a, b, p, q, agree, n), pairs of unlike classes p < q that agree in `least` minima.
+
+    Of two classes in a part only the likeliest pair is given, with the number n of their pairs there; all pairs, with n = 1, if `every`.
     Holds one batch and the rows of an open part, at most two blocks by the way parts are dealt.
     """
+    names = ["a", "b", "p", "q", "agree", "n"]
 
     def pairs(sets: np.ndarray, owner: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best: list[np.ndarray] | None = None
         for low in range(0, len(sets), 16):
             agree = (marks[low : low + 16, None, :] == marks[None, :, :]).sum(axis=2)
-            x, y = np.nonzero((agree >= LIKELY) & (owner[low : low + 16, None] < owner[None, :]))
-            if len(x):
-                columns = [sets[low + x], sets[y], owner[low + x], owner[y], agree[x, y].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "p", "q", "agree"])
+            x, y = np.nonzero((agree >= least) & (owner[low : low + 16, None] < owner[None, :]))
+            if not len(x):
+                continue
+            found = [sets[low + x], sets[y], owner[low + x], owner[y], agree[x, y], np.ones(len(x), np.int64)]
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
+            else:
+                best = likeliest(found if best is None else [np.concatenate(c) for c in zip(best, found)])
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best], names)
+
+    def part_pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = part.combine_chunks()
+        return pairs(part.column(1).to_numpy(), part.column(2).to_numpy(), _sketches(part.column(3).combine_chunks()))
 
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-        parts = held.column(0).to_numpy()
-        ends = np.flatnonzero(parts[1:] != parts[:-1]) + 1
-        low = 0
-        for high in ends.tolist():
-            part = held.slice(low, high - low).combine_chunks()
-            yield from pairs(part.column(1).to_numpy(), part.column(2).to_numpy(), _sketches(part.column(3).combine_chunks()))
-            low = high
-        held = held.slice(low)
-    if held is not None:
-        held = held.combine_chunks()
-        yield from pairs(held.column(1).to_numpy(), held.column(2).to_numpy(), _sketches(held.column(3).combine_chunks()))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            parts = held.column(0).to_numpy()
+            ends = np.flatnonzero(parts[1:] != parts[:-1]) + 1
+            low = 0
+            for high in ends.tolist():
+                yield from part_pairs(held.slice(low, high - low))
+                low = high
+            held = held.slice(low)
+        if held is not None:
+            yield from part_pairs(held)
+
+    return compare
 
 
 def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -287,21 +311,27 @@ def _first_rows(whole: DataFrame) -> DataFrame:
     best = near.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = materialize(links.unionByName(found(materialize(best))))
 
-    # Keys that hold several classes still: the likely pairs between them.
-    owners = with_classes(per_set, links)
-    members = met.select("key", "set").unionByName(met.select("key", F.col("centre").alias("set")).distinct())
-    parts = materialize(blocks(materialize(members.join(owners, "set"))))
-    dealt = parts.join(marks.select("set", "sketch"), "set").select("part", "set", "class", "sketch")
-    dealt = dealt.repartition("part").sortWithinPartitions("part")
-    close = materialize(arrow_map(dealt, cross, "a long, b long, p long, q long, agree int").distinct())
+    # Keys that hold several classes still: the likeliest pair of every two of them.
+    members = materialize(met.select("key", "set").unionByName(met.select("key", F.col("centre").alias("set")).distinct()))
+
+    def between(owners: DataFrame, least: int, every: bool) -> DataFrame:
+        """(a, b, p, q, agree, n) of the keys whose sets have several classes in `owners`."""
+        parts = materialize(blocks(materialize(members.join(owners, "set"))))
+        dealt = parts.join(marks.select("set", "sketch"), "set").select("part", "set", "class", "sketch")
+        dealt = dealt.repartition("part").sortWithinPartitions("part")
+        return materialize(arrow_map(dealt, cross(least, every), "a long, b long, p long, q long, agree long, n long"))
+
+    close = between(with_classes(per_set, links), LIKELY, False)
     best = materialize(close.groupBy("p", "q").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b"))
-    if n_close := close.count():
+    if not best.isEmpty():
         links = materialize(links.unionByName(found(best)))
-        # Two classes with several likely pairs, of which the likeliest may have failed.
-        if n_close > best.count():
-            rest = close.filter(F.col("agree") >= LIKELIER).join(best, ["a", "b"], "left_anti")
-            links = materialize(links.unionByName(found(apart(rest, with_classes(per_set, links)))))
-
-    final = components(links).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-    named = joined.join(materialize(final), "root", "left").select(F.coalesce("joined", "root").alias("root"), "first")
+    whole_classes = materialize(components(links).select(F.col("node").alias("root"), F.col("root").alias("joined")))
+    # Two classes with several likely pairs, of which the likeliest has failed: the others, where whole classes are apart still.
+    if not close.filter("n > 1").isEmpty() or close.count() > best.count():
+        owners = per_set.select("set", "root").join(whole_classes, "root", "left").select("set", F.coalesce("joined", "root").alias("class"))
+        rest = between(materialize(owners), LIKELIER, True).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+        more = materialize(found(materialize(rest)))
+        if not more.isEmpty():
+            whole_classes = materialize(components(links.unionByName(more)).select(F.col("node").alias("root"), F.col("root").alias("joined")))
+    named = joined.join(whole_classes, "root", "left").select(F.coalesce("joined", "root").alias("root"), "first")
     return named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

@@ -1,6 +1,8 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from conftest import prose
 from stayline.llm import nearcopies, simhash
 from test_brute import roots
@@ -79,3 +81,30 @@ def test_large_keys_in_blocks(spark, monkeypatch):
     links = [(r.component_id, r.doc_id) for r in simhash.near_duplicates(docs).collect()]
     wanted = {i for i, root in roots(sorted(texts), links + alike(texts)).items() if i == root}
     assert {r.doc_id for r in nearcopies.one_of_each(docs).collect()} == wanted
+
+
+def test_a_block_gives_the_likeliest_pair_of_two_classes():
+    """Every pair of unlike classes with its greatest (agreement, a, b) and number, against plain loops; all pairs on request."""
+    rng = np.random.default_rng(5)
+    families = rng.integers(0, 1 << 16, (3, 128), np.uint16)
+    rows = []
+    for number in range(90):
+        marks = families[number % 3].copy()
+        changed = rng.random(128) < rng.choice([0.0, 0.1, 0.2])
+        marks[changed] = rng.integers(0, 1 << 16, changed.sum(), np.uint16)
+        rows.append((number // 45, int(rng.integers(-500, 500)) * 100 + number, int(rng.integers(0, 6)), marks))
+    want = defaultdict(list)
+    for x in rows:
+        for y in rows:
+            agree = int((x[3] == y[3]).sum())
+            if x[0] == y[0] and x[2] < y[2] and agree >= nearcopies.LIKELY:
+                want[x[0], x[2], y[2]].append((agree, x[1], y[1]))
+    table = pa.table([pa.array([r[i] for r in rows]) for i in range(3)] + [pa.array([r[3].tobytes() for r in rows])], ["part", "set", "class", "sketch"])
+    batches = table.to_batches(max_chunksize=7)
+    best = [row for found in nearcopies.cross(nearcopies.LIKELY, False)(iter(batches)) for row in found.to_pylist()]
+    assert len(want) > 10 and max(map(len, want.values())) > 5
+    assert sorted((r["p"], r["q"], r["agree"], r["a"], r["b"], r["n"]) for r in best) == sorted(
+        (p, q, *max(pairs), len(pairs)) for (_, p, q), pairs in want.items()
+    )
+    every = [row for found in nearcopies.cross(nearcopies.LIKELY, True)(iter(batches)) for row in found.to_pylist()]
+    assert sorted((r["agree"], r["a"], r["b"]) for r in every) == sorted(pair for pairs in want.values() for pair in pairs)
