@@ -8,9 +8,9 @@ only pairs that agree so often are verified on their shingle sets (64-bit hashes
 What a group asks for is its connection, not its pairs. First each set meets one member of each of its keys, and the likeliest
 of a few of those pairs is verified. Keys whose members are in one class by then, as groups of copies mostly are, are done.
 In the others the sketches of different classes are compared inside tasks, in blocks of at most `BLOCK` sets a side, so a
-crowded key spreads over tasks, and a block gives only the likeliest pair of every two classes. Where that fails and the whole classes are
-apart still, the sketches are compared once more for pairs that agree in `LIKELIER` minima, which all but 7 in 100 pairs at the least
-similarity do: a link is lost only if neither its pair nor any other way between its two classes is found.
+crowded key spreads over tasks; a pair counts in the first of the keys that it shares only, and what leaves a task is each set that
+has such a pair. The shingle sets of those then meet in the same blocks, all of a block are compared there, and a
+block gives the links that connect its classes, fewer than it has classes, never its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
 
@@ -35,13 +35,16 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
-#: Minima of 128 that a likely pair agrees in, and one between classes whose likeliest pair has failed.
-LIKELY, LIKELIER = 84, 96
-BLOCK = 512
+#: Minima of 128 that a likely pair agrees in.
+LIKELY = 84
+#: Sets of a block, and shingles of them: a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Centres that a set is measured against before classes are compared.
 STARS = 4
-#: Shingles whose minima are taken at a time.
+#: Shingles whose minima are taken, or that are counted, at a time.
 CHUNK = 1 << 13
+#: The last bits of keys and parts are the number of their band.
+_BAND_BITS = BANDS - 1
 
 _SEEDS = np.random.default_rng(42)
 _FLIPS = _SEEDS.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
@@ -115,52 +118,121 @@ def likeliest(found: list[np.ndarray]) -> list[np.ndarray]:
     return [a[order][last], b[order][last], p[last], q[last], agree[order][last], np.diff(upto, prepend=0)]
 
 
+def _likely_pairs(owner: np.ndarray, marks: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, agree) of the rows x, y of smaller and larger class whose sketches agree in `least` minima, some at a time."""
+    for low in range(0, len(owner), 16):
+        agree = (marks[low : low + 16, None, :] == marks[None, :, :]).sum(axis=2)
+        x, y = np.nonzero((agree >= least) & (owner[low : low + 16, None] < owner[None, :]))
+        if len(x):
+            yield low + x, y, agree[x, y]
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, the part -> each part whole. Holds one batch and the rows of an open part, at most two blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = batch.column(0).to_numpy()
+        begins = np.flatnonzero(np.concatenate([[not held or held[-1].column(0)[-1].as_py() != parts[0]], parts[1:] != parts[:-1]])).tolist()
+        if held and begins:
+            held.append(batch.slice(0, begins[0]))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for low, high in zip(begins, begins[1:]):
+            yield pa.Table.from_batches([batch.slice(low, high - low)])
+        held.append(batch.slice(begins[-1]) if begins else batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def cross(least: int, every: bool):
     """For `arrow_map`: rows (part, set, class, sketch), sorted by part -> (a, b, p, q, agree, n), pairs of unlike classes p < q that agree in `least` minima.
 
     Of two classes in a part only the likeliest pair is given, with the number n of their pairs there; all pairs, with n = 1, if `every`.
-    Holds one batch and the rows of an open part, at most two blocks by the way parts are dealt.
+    For the pairs themselves, which may be as many as a part's sets squared; `one_of_each` uses `hopeful` and `spanning`.
     """
     names = ["a", "b", "p", "q", "agree", "n"]
 
-    def pairs(sets: np.ndarray, owner: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        best: list[np.ndarray] | None = None
-        for low in range(0, len(sets), 16):
-            agree = (marks[low : low + 16, None, :] == marks[None, :, :]).sum(axis=2)
-            x, y = np.nonzero((agree >= least) & (owner[low : low + 16, None] < owner[None, :]))
-            if not len(x):
-                continue
-            found = [sets[low + x], sets[y], owner[low + x], owner[y], agree[x, y], np.ones(len(x), np.int64)]
-            if every:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
-            else:
-                best = likeliest(found if best is None else [np.concatenate(c) for c in zip(best, found)])
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best], names)
-
-    def part_pairs(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = part.combine_chunks()
-        return pairs(part.column(1).to_numpy(), part.column(2).to_numpy(), _sketches(part.column(3).combine_chunks()))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            parts = held.column(0).to_numpy()
-            ends = np.flatnonzero(parts[1:] != parts[:-1]) + 1
-            low = 0
-            for high in ends.tolist():
-                yield from part_pairs(held.slice(low, high - low))
-                low = high
-            held = held.slice(low)
-        if held is not None:
-            yield from part_pairs(held)
+        for part in _by_part(batches):
+            sets, owner = (part.column(i).to_numpy() for i in (1, 2))
+            best: list[np.ndarray] | None = None
+            for x, y, agree in _likely_pairs(owner, _sketches(part.column(3).combine_chunks()), least):
+                found = [sets[x], sets[y], owner[x], owner[y], agree, np.ones(len(x), np.int64)]
+                if every:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
+                else:
+                    best = likeliest(found if best is None else [np.concatenate(c) for c in zip(best, found)])
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best], names)
 
     return compare
 
 
+def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, set, class, sketch), sorted by part -> (part, set, class) of the sets with a likely pair of another class there.
+
+    A pair that shares several keys counts in the part of the first band of them only, so it is met once however alike it is.
+    """
+    for part in _by_part(batches):
+        marks, owner = _sketches(part.column(3).combine_chunks()), part.column(2).to_numpy()
+        band = part.column(0)[0].as_py() & _BAND_BITS
+        hope = np.zeros(len(owner), bool)
+        for x, y, _ in _likely_pairs(owner, marks, LIKELY):
+            shared = (marks[x] == marks[y]).reshape(-1, BANDS, ROWS).all(axis=2)
+            first = shared.argmax(axis=1) == band
+            hope[x[first]] = hope[y[first]] = True
+        if hope.any():
+            yield from part.select(["part", "set", "class"]).filter(pa.array(hope)).to_batches()
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values every two of these sets of distinct values have in common."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])[: len(flat)]
+    often = np.bincount(np.cumsum(new) - 1) if len(flat) else np.empty(0, np.int64)
+    # A value of one set is in no intersection.
+    order = order[np.repeat(often > 1, often)]
+    often = often[often > 1]
+    value, row = np.repeat(np.arange(len(often)), often), row[order]
+    ends = np.append(0, np.cumsum(often))
+    shared = np.zeros((len(sets), len(sets)))
+    for low in range(0, len(often), CHUNK):
+        high = min(low + CHUNK, len(often))
+        inside = slice(ends[low], ends[high])
+        holds = np.zeros((len(sets), high - low), np.float32)
+        holds[row[inside], value[inside] - low] = 1
+        shared += holds @ holds.T
+    return shared
+
+
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, set, class, hashes), sorted by part -> (a, b): classes with alike sets, as few links as connect a part's classes."""
+    for part in _by_part(batches):
+        sets = [np.frombuffer(h, np.uint64) for h in row_bytes(part.column(3).combine_chunks())]
+        classes_, owner = np.unique(part.column(2).to_numpy(), return_inverse=True)
+        sizes = np.array([len(s) for s in sets])
+        shared = shared_counts(sets)
+        alike = shared >= SIMILARITY * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+        x, y = np.nonzero(alike & (owner[:, None] < owner[None, :]))
+        links, tree = [], list(range(len(classes_)))
+        for pair in np.unique(owner[x] * len(classes_) + owner[y]).tolist():
+            ends = []
+            for node in divmod(pair, len(classes_)):
+                while tree[node] != node:
+                    tree[node] = node = tree[tree[node]]
+                ends.append(node)
+            if ends[0] != ends[1]:
+                tree[max(ends)] = min(ends)
+                links.append(divmod(pair, len(classes_)))
+        if links:
+            named = classes_[np.array(links)]
+            yield pa.RecordBatch.from_arrays([pa.array(named[:, i], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """(a, b, agree) of the pairs (a, b) whose sketches agree often enough; `marks` has (set, sketch)."""
 
@@ -225,13 +297,24 @@ def apart(pairs: DataFrame, owners: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter("_p <> _q").drop("_p", "_q")
 
 
+def with_band(hashed: Column, band: Column) -> Column:
+    """A hash whose last bits are the band's number."""
+    return hashed.bitwiseAND(F.lit(~_BAND_BITS)).bitwiseOR(band.cast("long"))
+
+
 def blocks(members: DataFrame) -> DataFrame:
-    """(part, set, class) from (key, set, class): a key of up to BLOCK sets is one part, a larger one a part for each pair of its blocks."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"))
+    """(part, set, class) from (key, set, class, size): a key of up to BLOCK sets is one part, a larger one a part for each pair of its blocks.
+
+    Sets with many shingles are dealt to more blocks, of BLOCK_SHINGLES on average. A part has its key's band.
+    """
+    rows, shingled = F.count(F.lit(1)), F.sum(F.col("size").cast("long"))
+    needed = F.greatest(F.ceil(rows / BLOCK), F.least(rows, F.ceil(shingled / BLOCK_SHINGLES)))
+    sizes = members.groupBy("key").agg(needed.cast("int").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"))
     split = materialize(sizes.filter("least <> most").select("key", "n"))
     own = F.pmod(F.xxhash64("key", "set"), F.col("n")).cast("int")
-    rows = members.join(split, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "set", "class").distinct()
+    dealt = members.join(split, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    part = with_band(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), F.col("key").bitwiseAND(F.lit(_BAND_BITS)))
+    return dealt.select(part.alias("part"), "set", "class").distinct()
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -285,21 +368,23 @@ def _first_rows(whole: DataFrame) -> DataFrame:
     links = materialize(rooted.join(least, "set").filter("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
     marks = materialize(whole.select("row", "sketch").join(per_set.filter("size > 0"), "row").select("set", "size", "sketch"))
 
+    def hashed(needed: DataFrame) -> DataFrame:
+        """(set, hashes), stored, of the distinct sets in `needed`."""
+        rows = materialize(per_set.join(needed, "set", "left_semi").select("row", "set"))
+        return materialize(hash_sets(sized_join(whole.select("row", "text"), rows, ["row"]).select("set", "text")))
+
     def found(pairs: DataFrame) -> DataFrame:
         """Links of roots out of the pairs (a, b) that are alike."""
         left, right = (marks.select(F.col("set").alias(s), F.col("size").alias(n)) for s, n in (("a", "n"), ("b", "m")))
         fits = F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m") - 1e-9
         open_ = materialize(pairs.select("a", "b").distinct().join(left, "a").join(right, "b").filter(fits).select("a", "b"))
-        needed = open_.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        rows = materialize(per_set.join(needed, "set", "left_semi").select("row", "set"))
-        texts = sized_join(whole.select("row", "text"), rows, ["row"]).select("set", "text")
-        good = materialize(verified(open_, materialize(hash_sets(texts))))
+        good = materialize(verified(open_, hashed(open_.select(F.explode(F.array("a", "b")).alias("set")).distinct())))
         left, right = (per_set.select(F.col("set").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
         return good.join(left, "a").join(right, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
 
     width = ROWS * 2
     bands = marks.select("set", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    key = F.xxhash64("band", F.col("sketch").substr(F.col("band") * width + 1, F.lit(width)))
+    key = with_band(F.xxhash64("band", F.col("sketch").substr(F.col("band") * width + 1, F.lit(width))), F.col("band"))
     # The first set of a key differs from band to band, as its order does.
     dealt = bands.select(key.alias("key"), "set").repartition("key").sortWithinPartitions("key", F.col("key").bitwiseXOR(F.col("set")))
     met = materialize(arrow_map(dealt, meet, "key long, centre long, set long"))
@@ -311,27 +396,14 @@ def _first_rows(whole: DataFrame) -> DataFrame:
     best = near.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = materialize(links.unionByName(found(materialize(best))))
 
-    # Keys that hold several classes still: the likeliest pair of every two of them.
-    members = materialize(met.select("key", "set").unionByName(met.select("key", F.col("centre").alias("set")).distinct()))
-
-    def between(owners: DataFrame, least: int, every: bool) -> DataFrame:
-        """(a, b, p, q, agree, n) of the keys whose sets have several classes in `owners`."""
-        parts = materialize(blocks(materialize(members.join(owners, "set"))))
-        dealt = parts.join(marks.select("set", "sketch"), "set").select("part", "set", "class", "sketch")
-        dealt = dealt.repartition("part").sortWithinPartitions("part")
-        return materialize(arrow_map(dealt, cross(least, every), "a long, b long, p long, q long, agree long, n long"))
-
-    close = between(with_classes(per_set, links), LIKELY, False)
-    best = materialize(close.groupBy("p", "q").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b"))
-    if not best.isEmpty():
-        links = materialize(links.unionByName(found(best)))
-    whole_classes = materialize(components(links).select(F.col("node").alias("root"), F.col("root").alias("joined")))
-    # Two classes with several likely pairs, of which the likeliest has failed: the others, where whole classes are apart still.
-    if not close.filter("n > 1").isEmpty() or close.count() > best.count():
-        owners = per_set.select("set", "root").join(whole_classes, "root", "left").select("set", F.coalesce("joined", "root").alias("class"))
-        rest = between(materialize(owners), LIKELIER, True).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-        more = materialize(found(materialize(rest)))
-        if not more.isEmpty():
-            whole_classes = materialize(components(links.unionByName(more)).select(F.col("node").alias("root"), F.col("root").alias("joined")))
+    # Keys that hold several classes still: sets with a likely pair there, and links between the classes of those that are alike.
+    members = met.select("key", "set").unionByName(met.select("key", F.col("centre").alias("set")).distinct())
+    owners = with_classes(per_set, links).join(per_set.select("set", "size"), "set")
+    parts = materialize(blocks(materialize(members.join(owners, "set"))))
+    sketched = parts.join(marks.select("set", "sketch"), "set").select("part", "set", "class", "sketch")
+    hoped = materialize(arrow_map(sketched.repartition("part").sortWithinPartitions("part"), hopeful, "part long, set long, class long"))
+    filled = hoped.join(hashed(hoped.select("set").distinct()), "set").select("part", "set", "class", "hashes")
+    more = materialize(arrow_map(filled.repartition("part").sortWithinPartitions("part"), spanning, "a long, b long"))
+    whole_classes = components(links.unionByName(more)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
     named = joined.join(whole_classes, "root", "left").select(F.coalesce("joined", "root").alias("root"), "first")
     return named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

@@ -108,3 +108,43 @@ def test_a_block_gives_the_likeliest_pair_of_two_classes():
     )
     every = [row for found in nearcopies.cross(nearcopies.LIKELY, True)(iter(batches)) for row in found.to_pylist()]
     assert sorted((r["agree"], r["a"], r["b"]) for r in every) == sorted(pair for pairs in want.values() for pair in pairs)
+
+
+def test_a_crowd_of_strangers_gives_rows_not_pairs(spark, monkeypatch):
+    """120 texts at about 0.7 of each other, all of them likely pairs: no step makes more rows than the sets have keys."""
+    passage = prose(11, 340).split()
+    texts = {i: " ".join([*passage, *prose(3000 + i, 72).split()]) for i in range(120)}
+    assert not alike(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    made, plain = [], nearcopies.arrow_map
+
+    def counted(df, scan, schema):
+        out = plain(df, scan, schema)
+        made.append(out.count())
+        return out
+
+    classes = simhash.near_duplicates(docs).select("component_id").distinct().count()
+    monkeypatch.setattr(nearcopies, "arrow_map", counted)
+    assert nearcopies.one_of_each(docs).count() == classes > 110
+    assert max(made) <= nearcopies.BANDS * len(texts)
+
+
+def test_spanning_links_against_plain_loops():
+    """Parts cut over batches: the links connect what plain Jaccard similarities connect, with fewer rows than classes."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for part in range(-3, 3):
+        base = rng.integers(0, 1 << 63, 200, np.uint64)
+        for _ in range(12):
+            own = np.unique(np.where(rng.random(200) < rng.choice([0.0, 0.05, 0.15]), rng.integers(0, 1 << 63, 200, np.uint64), base))
+            rows.append((part, len(rows), int(rng.integers(0, 9)) - 4, own))
+    table = pa.table([pa.array([r[i] for r in rows]) for i in range(3)] + [pa.array([r[3].tobytes() for r in rows])], ["part", "set", "class", "hashes"])
+    found = [tuple(r.values()) for out in nearcopies.spanning(iter(table.to_batches(max_chunksize=5))) for r in out.to_pylist()]
+    pairs, classes = [], 0
+    for part in range(-3, 3):
+        own = [r for r in rows if r[0] == part]
+        classes += len({r[2] for r in own}) - 1
+        pairs += [(x[2], y[2]) for x in own for y in own if x[2] < y[2] and 10 * len(np.intersect1d(x[3], y[3])) >= 8 * len(np.union1d(x[3], y[3]))]
+    assert pairs and len(found) <= classes and set(found) <= set(pairs)
+    assert roots(range(-4, 5), found) == roots(range(-4, 5), pairs)
+    assert nearcopies.shared_counts([np.array([1, 2], np.uint64), np.array([2, 3, 9], np.uint64), np.array([], np.uint64)]).tolist() == [[0, 1, 0], [1, 0, 0], [0, 0, 0]]
