@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,11 +164,13 @@ def base_schemas(spark, folder):
     counts = None
     for name, rows in _base_tables(spark, folder).items():
         loaded = PB.publish_csv(spark, _as_csv(_in_schema(rows, name), name), name, work_path(spark, name))
-        long = loaded.select(F.explode(F.map_from_entries(F.array(
-            *[F.struct(F.lit(c), F.col(c).cast("string")) for c in rows.columns]
-        ))).alias("column_name", "value"))
-        part = long.groupBy("column_name").agg(F.count("value").alias("n_filled"), F.countDistinct("value").alias("n_distinct"))
-        part = part.select(F.lit(name).alias("table_name"), "column_name", "n_filled", "n_distinct")
+        parts = [
+            loaded.select(col_named(c).alias("value")).groupBy("value").agg(F.count("value").alias("n"))
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_filled"), F.count("value").alias("n_distinct"))
+            .select(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), "n_filled", "n_distinct")
+            for c in rows.columns
+        ]
+        part = reduce(DataFrame.unionByName, parts)
         counts = part if counts is None else counts.unionByName(part)
     return counts
 

@@ -126,3 +126,17 @@ def test_published_base_table(spark, tmp_path):
     with pytest.raises(PB.LoadError):
         PB.publish_csv(spark, str(tmp_path / "e.csv"), "diagnoses_icd", path)
     assert PB.read_published(spark, path).count() == 2
+
+
+def test_base_schemas_counts_columns_apart(spark, tmp_path):
+    """No row is spread out into one row a column; a table without rows has its columns with zeros, as in the SQL."""
+    from stayline.plans.queries import REGISTRY
+
+    for name in ("customer", "orders", "part", "events", "nation", "documents", "region"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        (rows.limit(0) if name == "region" else rows).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    counts = REGISTRY["base_schemas"](spark, str(tmp_path))
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.table_name, r.column_name): (r.n_filled, r.n_distinct) for r in counts.collect()}
+    assert len(found) == 43 and found["d_labitems", "label"] == (0, 0)
+    assert found["d_items", "row_id"] == (25, 25)
