@@ -188,7 +188,7 @@ def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values every two of these sets of distinct values have in common."""
+    """How many values every two of these sets of distinct values have in common; on the diagonal, how many a set shares with any other."""
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
